@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .quality import quality_scores
 from .simhash import simhash_components
 from .token_count import token_counts
@@ -73,3 +75,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
