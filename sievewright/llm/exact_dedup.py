@@ -57,6 +57,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves MB of disk
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         session.conf.set(key, value)
