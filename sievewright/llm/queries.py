@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .license_scan import TEMPLATES, license_scan
 from .line_dedup import dedup_lines
 from .quality import quality_scores
 from .simhash import simhash_components
 from .token_count import token_counts
+from .warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +83,41 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+    b AS (SELECT *, list_transform(range(40), lambda i: instr('0123456789abcdef', substr(h, i + 1, 1)) - 1) AS x FROM p),
+    bits AS (SELECT *, list_transform(range(160), lambda i: (x[i // 4 + 1] >> (3 - i % 4)) & 1) AS z FROM b)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+      list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * z[5 * i + 1] + 8 * z[5 * i + 2] + 4 * z[5 * i + 3] + 2 * z[5 * i + 4] + z[5 * i + 5] + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM bits
+    """,
+)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read_table(spark, sf_dir, "pages")).drop("url")
+
+
+def _license_oracle(threshold: float = 0.8) -> str:
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return f"""
+    WITH t AS (SELECT name, string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {rows}) v(name, s)),
+    tg AS (SELECT name, {grams.format(w="w")} AS b FROM t),
+    d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS n FROM documents),
+    u AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(n, chr(10)) || string_split_regex(n, '\\n *\\n') || [n], lambda s: trim(regexp_replace(s, '[ \\n]+', ' ', 'g'))))) AS s FROM d),
+    uw AS (SELECT doc_id, s, string_split(s, ' ') AS w FROM u),
+    ug AS (SELECT doc_id, s, {grams.format(w="w")} AS b FROM uw WHERE len(w) > 1),
+    m AS (SELECT doc_id, s, max(struct_pack(dice := 2.0::DOUBLE * len(list_intersect(ug.b, tg.b)) / (len(ug.b) + len(tg.b)), name := name)) AS x FROM ug, tg
+      WHERE 2.0::DOUBLE * len(list_intersect(ug.b, tg.b)) / (len(ug.b) + len(tg.b)) >= {threshold} GROUP BY 1, 2),
+    best AS (SELECT doc_id, count(*) AS n_found, max(x) AS x FROM m GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_found, 0) AS n_found, x.name AS license, round(x.dice, 6) AS dice FROM d LEFT JOIN best USING (doc_id)
+    """
+
+
+@query("op3_license_scan", _license_oracle())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
