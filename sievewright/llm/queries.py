@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import TEMPLATES, license_scan
 from .line_dedup import dedup_lines
 from .quality import quality_scores
+from .segment import encoded
 from .simhash import simhash_components
 from .token_count import token_counts
 from .warc import archived
@@ -121,3 +122,8 @@ def _license_oracle(threshold: float = 0.8) -> str:
 @query("op3_license_scan", _license_oracle())
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece_nbest")
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
