@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .quality import quality_scores
 from .segment import encoded
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 from .token_count import token_counts
 from .warc import archived
 
@@ -127,3 +128,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece_nbest")
 def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), width=400)
