@@ -182,7 +182,7 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     bits = min(40, max(6, (n * ball // VARIANTS_AT_ONCE).bit_length()))
     start = distinct.select(F.lit(0).cast("long").alias("part"), "fp", F.lit(half).cast("byte").alias("left"))
     rows = _routed(start, 0, bits)
-    full = 8 * (VARIANTS_AT_ONCE // ball + 1) + 16 * n // (1 << bits)
+    full = 1000 + 4 * n * len(_masks(0, bits, half)[0]) // (1 << bits)  # four times the mean
     counts = materialize(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > full), "hot-parts")
     most = counts.agg(F.max("n")).first()[0]
     plan = [(rows, bits)]
