@@ -28,6 +28,51 @@ def unicode_pattern(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def leading_words(pattern: str) -> list[str] | None:
+    """Lower-case beginnings of which a match of the pattern must hold one; None if that can't be told."""
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("(?:"):
+        depth, parts, start = 1, [], 3
+        for i in range(3, len(body)):
+            depth += {"(": 1, ")": -1}.get(body[i], 0)
+            if depth == 0 or (depth == 1 and body[i] == "|"):
+                parts.append(body[start:i])
+                start = i + 1
+                if depth == 0:
+                    break
+    else:
+        parts = [body]
+    out = []
+    for part in parts:
+        word = re.match(r"[A-Za-z]*", part)[0]
+        if part[len(word) : len(word) + 1] in ("?", "*", "{"):
+            word = word[:-1]
+        if not word:
+            return None
+        out.append(word.lower())
+    return out
+
+
+def probe(text: Column) -> Column:
+    """What leading words are looked for in: lower case, with the characters that fold to ASCII letters folded."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def matches_any(text: Column, probed: Column, patterns: list[str]) -> Column:
+    """Whether a deny-list pattern matches; a pattern is only tried on texts that hold one of its leading words."""
+    out = F.lit(False)
+    for p in patterns:
+        words = leading_words(p)
+        hit = text.rlike(unicode_pattern(p))
+        if words is not None:
+            some = F.lit(False)
+            for w in sorted({v for v in words if not any(v != u and v.startswith(u) for u in words)}):
+                some = some | F.contains(probed, F.lit(w))
+            hit = some & hit
+        out = out | hit
+    return out
+
+
 def java_class(ranges: tuple[tuple[int, int], ...], singles: str = "") -> str:
     return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in singles) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
@@ -66,8 +111,10 @@ def collapse_spacing(text: Column) -> Column:
 
 
 def deleet(text: Column, leet_from: str = fixed.LEET_FROM, leet_to: str = fixed.LEET_TO) -> Column:
-    """Digits and signs to letters in tokens that hold a letter."""
-    return replace_matches(text, fixed.LEET_TOKEN, lambda m: F.when(m.rlike(fixed.LEET_LETTER), F.translate(m, leet_from, leet_to)).otherwise(m))
+    """Digits and signs to letters in tokens that hold a letter. Only tokens with something to change are looked at."""
+    token = fixed.LEET_TOKEN.removesuffix("+")
+    changing = f"(?<!{token})(?={token}*[{re.escape(leet_from)}]){token}+" if re.fullmatch("[A-Za-z0-9@!$]+", leet_from) else fixed.LEET_TOKEN
+    return replace_matches(text, changing, lambda m: F.when(m.rlike(fixed.LEET_LETTER), F.translate(m, leet_from, leet_to)).otherwise(m))
 
 
 def cap_bytes(text: Column, limit: int = fixed.MAX_INPUT_BYTES) -> Column:

@@ -6,21 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import ascii_pattern, unicode_pattern
+from ..functions.text import ascii_pattern, matches_any, probe
 
 Signature = tuple[str, float, list[str]]
 
 
-def _hit(view: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | view.rlike(unicode_pattern(p))
-    return out
-
-
-def signature_scores(view: Column, signatures: list[Signature] | None = None) -> list[tuple[str, Column]]:
+def signature_scores(view: Column, signatures: list[Signature] | None = None, probed: Column | None = None) -> list[tuple[str, Column]]:
     """(type, score or null): a type counts once, whichever of its patterns match."""
-    return [(kind, F.when(_hit(view, patterns), F.lit(score))) for kind, score, patterns in (signatures or fixed.INJECTION)]
+    probed = probe(view) if probed is None else probed
+    return [(kind, F.when(matches_any(view, probed, patterns), F.lit(score))) for kind, score, patterns in (signatures or fixed.INJECTION)]
 
 
 def obfuscation_scores(signals: Column) -> list[tuple[str, Column]]:
@@ -38,8 +32,8 @@ def many_shot_score(view: Column) -> Column:
     return F.when(n >= 6, F.least(F.lit(0.6), 0.1 + (n - 6) * 0.05))
 
 
-def payload_splitting(view: Column) -> Column:
-    return view.rlike(unicode_pattern(fixed.SPLITTING_WORDS)) | (F.regexp_count(view, F.lit(ascii_pattern(fixed.SPLITTING_PIECES))) >= 4)
+def payload_splitting(view: Column, probed: Column | None = None) -> Column:
+    return matches_any(view, probe(view) if probed is None else probed, [fixed.SPLITTING_WORDS]) | (F.regexp_count(view, F.lit(ascii_pattern(fixed.SPLITTING_PIECES))) >= 4)
 
 
 def combined(scores: Column) -> Column:
@@ -47,9 +41,9 @@ def combined(scores: Column) -> Column:
     return F.aggregate(scores, F.lit(1.0), lambda acc, s: acc * (1.0 - F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))), lambda acc: F.round(1.0 - acc, 4))
 
 
-def injection_verdict(view: Column, signals: Column, signatures: list[Signature] | None = None) -> Column:
+def injection_verdict(view: Column, signals: Column, signatures: list[Signature] | None = None, probed: Column | None = None) -> Column:
     """struct<score, signals, driver>"""
-    parts = [*signature_scores(view, signatures), *obfuscation_scores(signals), ("heuristic:many_shot", many_shot_score(view)), ("heuristic:payload_splitting", F.when(payload_splitting(view), F.lit(0.4)))]
+    parts = [*signature_scores(view, signatures, probed), *obfuscation_scores(signals), ("heuristic:many_shot", many_shot_score(view)), ("heuristic:payload_splitting", F.when(payload_splitting(view, probed), F.lit(0.4)))]
     found = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), score.alias("score")) for name, score in parts]), lambda x: x["score"].isNotNull())
     return F.struct(
         combined(F.transform(found, lambda x: x["score"])).alias("score"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import DETECTION, empty
-from ..functions.text import unicode_pattern
+from ..functions.text import leading_words, probe, unicode_pattern
 
 UNSAFE_FOUND = "array<struct<value:string,start:int,end:int>>"
 
@@ -27,15 +27,23 @@ def _spans(text: Column, pattern: str) -> Column:
     )
 
 
-def unsafe(current: Column, view: Column, signatures: list[tuple[str, str, float, list[str]]] | None = None) -> Column:
+def unsafe(current: Column, view: Column, signatures: list[tuple[str, str, float, list[str]]] | None = None, probed: Column | None = None) -> Column:
     """Detections: each match in the delivered text, or else one without a place if the detection view matches."""
     parts = []
+    probed = probe(F.concat_ws(" ", current, view)) if probed is None else probed
+    none = empty(f"array<{DETECTION}>")
     for category, label, score, patterns in signatures or fixed.UNSAFE:
-        for p in map(unicode_pattern, patterns):
+        for p in patterns:
+            likely = F.lit(True)
+            if (words := leading_words(p)) is not None:
+                likely = F.lit(False)
+                for w in words:
+                    likely = likely | F.contains(probed, F.lit(w))
+            p = unicode_pattern(p)
             one = lambda start, end, context: F.struct(F.lit(f"NSFW_{category}").alias("type"), start.alias("start"), end.alias("end"), F.lit(score).alias("score"), F.lit("nsfw").alias("scanner"), context.alias("context"))  # noqa: E731, B023
             seen = F.transform(_spans(current, p), lambda m: one(m["start"], m["end"], F.create_map(F.lit("label"), F.lit(label))))  # noqa: B023
             hidden = F.array(one(F.lit(0), F.lit(0), F.create_map(F.lit("label"), F.lit(label), F.lit("source"), F.lit("normalized"))))
-            parts.append(F.when(current.rlike(p), seen).when(view.rlike(p), hidden).otherwise(empty(f"array<{DETECTION}>")))
+            parts.append(F.when(~likely, none).when(current.rlike(p), seen).when(view.rlike(p), hidden).otherwise(none))
     return F.concat(*parts)
 
 

@@ -65,6 +65,16 @@ def _replaced(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
     return new.withColumns({k: F.col(f"{k}_new") for k in changes}).drop(*[f"{k}_new" for k in changes])
 
 
+def _settled(df: DataFrame, *names: str) -> DataFrame:
+    """The frame behind a barrier that filters on the named columns don't pass.
+
+    The optimizer would write a filter's columns out in terms of the columns below, stage for stage; with stages that
+    read a column many times, that grows beyond measure. It doesn't do so across a column that isn't deterministic.
+    """
+    gated = df.withColumns({"_gate": F.spark_partition_id() >= 0})
+    return gated.withColumns({n: F.when(F.col("_gate"), F.col(n)) for n in names}).drop("_gate")
+
+
 def _result(df: DataFrame, name: str, policy: Policy, valid: Column, score: Column, found: Column, action: Column | str, current: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Append a stage's result where the row is still open; under fail-fast a refusal closes it."""
     after = F.col("_current") if current is None else current
@@ -121,7 +131,8 @@ def scan_injection(df: DataFrame, policy: Policy, direction: str, s: Settings) -
     if direction == OUTPUT:
         return df
     own = [*fixed.INJECTION, *s.signatures]
-    df = df.withColumns({"_verdict": injection.injection_verdict(F.col("_normalized"), F.col("_signals"), own)})
+    df = df.withColumns({"_probe": tx.probe(F.col("_normalized"))})
+    df = df.withColumns({"_verdict": injection.injection_verdict(F.col("_normalized"), F.col("_signals"), own, F.col("_probe"))}).drop("_probe")
     if s.judge is not None:
         df = layered(df, s.judge)
     score, action = F.col("_verdict.score"), policy.action("injection", BLOCK)
@@ -136,6 +147,7 @@ def layered(df: DataFrame, judge: Callable[[DataFrame], DataFrame], below: float
 
     The judge sees only those rows: it takes the frame and adds _judged, a struct (score, category, error).
     """
+    df = _settled(df, "_open", "_verdict")
     weak = F.col("_open") & (F.col("_verdict.score") < below)
     sure, unsure = df.filter(~weak), judge(df.filter(weak))
     better = F.col("_judged.error").isNull() & (F.col("_judged.score") >= F.col("_verdict.score"))
@@ -183,7 +195,8 @@ def scan_pii(df: DataFrame, policy: Policy, direction: str, s: Settings) -> Data
 def scan_nsfw(df: DataFrame, policy: Policy, direction: str, s: Settings) -> DataFrame:
     if direction == RETRIEVAL:
         return df
-    found, threshold, action = safety.unsafe(F.col("_current"), F.col("_normalized")), policy.threshold("nsfw"), policy.action("nsfw", BLOCK)
+    df = df.withColumns({"_probe": tx.probe(F.concat_ws(" ", "_current", "_normalized"))})
+    found, threshold, action = safety.unsafe(F.col("_current"), F.col("_normalized"), probed=F.col("_probe")), policy.threshold("nsfw"), policy.action("nsfw", BLOCK)
     more: dict[str, Column] = {}
     if s.moderation is not None:
         categories, flagged, error = s.moderation
@@ -191,7 +204,7 @@ def scan_nsfw(df: DataFrame, policy: Policy, direction: str, s: Settings) -> Dat
         found = F.when(F.col(error).isNull(), F.concat(found, asked)).otherwise(found)
         down = F.map_from_entries(F.filter(F.array(_signal("moderation_unavailable", F.col(error).isNotNull())), lambda x: x["value"] > 0))
         more = {"_signals": F.map_concat("_signals", down)}
-    df = df.withColumns({"_found": found})
+    df = df.withColumns({"_found": found}).drop("_probe")
     found = F.col("_found")
     flagged = risk(found) >= threshold
     current = None
@@ -307,7 +320,10 @@ class ScanPlan:
         return replace(self, policy=replace(self.policy, fail_fast=enabled))
 
     def apply(self, df: DataFrame, text: str = "text", vault: str | None = None, out: str = "verdict") -> DataFrame:
-        """The frame with a verdict column. A null text is scanned as an empty one; vault names a map<placeholder, value> column."""
+        """The frame with a verdict column. A null text is scanned as an empty one; vault names a map<placeholder, value> column.
+
+        Filters on other columns belong ahead of it: they aren't pushed below the scan.
+        """
         capped = tx.cap_bytes(F.coalesce(F.col(text), F.lit("")), self.settings.max_input_bytes)
         no_signals = F.expr("cast(map() as map<string,int>)")
         truncated = F.octet_length(F.coalesce(F.col(text), F.lit(""))) > (self.settings.max_input_bytes or (1 << 31) - 1)
@@ -326,6 +342,7 @@ class ScanPlan:
                 warnings.warn(f"stage {name} isn't registered and is left out", stacklevel=2)
                 continue
             work = self.registry.resolve(name)(work, self.policy, self.direction, self.settings)
+        work = _settled(work, "_results", "_current", "_vault", "_signals")
         made = verdict(F.col("_results"), F.col("_current"), F.col("_original"), F.col("_vault"))
         return work.select(*[F.col(f"`{c}`") for c in kept], made.alias(out), F.col("_signals").alias(f"{out}_signals"))
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.policy import BALANCED, INPUT, OUTPUT, Policy
 from ..plans.scan import ScanPlan, Settings
@@ -76,7 +77,7 @@ def _rebuilt(bodies: DataFrame, new: DataFrame, key: str, body: str) -> DataFram
             yield pa.RecordBatch.from_arrays(columns, [n for n in b.schema.names if n != "_new"])
 
     joined = bodies.join(new, key, "left")
-    return joined.mapInArrow(run, bodies.select(key, *[c for c in bodies.columns if c != key]).schema.add("blocked_paths", "array<string>"))
+    return joined.mapInArrow(run, bodies.select(key, *[c for c in bodies.columns if c != key]).schema.add("blocked_paths", T.ArrayType(T.StringType())))
 
 
 def guard_requests(bodies: DataFrame, policy: Policy = BALANCED, settings: Settings | None = None, key: str = "request_id", body: str = "body") -> DataFrame:
