@@ -294,8 +294,11 @@ def default_registry() -> Registry:
 def failed(df: DataFrame, name: str, policy: Policy, error: Column) -> DataFrame:
     """A stage that couldn't be carried out where `error` isn't null: refused at risk 1 if it fails closed, else clean."""
     closed = policy.fails(name) == CLOSED
-    was = F.col("_open")
-    return _result(df.withColumns({"_open": was & error.isNotNull()}), name, policy, F.lit(not closed), F.lit(1.0 if closed else 0.0), empty(NO_DETECTIONS), BLOCK).withColumns({"_open": was & (error.isNull() | F.lit(not (closed and policy.fail_fast)))})
+    df = df.withColumns({"_was": F.col("_open"), "_broke": error.isNotNull()})
+    df = df.withColumns({"_open": F.col("_was") & F.col("_broke")})
+    df = _result(df, name, policy, F.lit(not closed), F.lit(1.0 if closed else 0.0), empty(NO_DETECTIONS), BLOCK)
+    stays = ~F.col("_broke") | F.lit(not (closed and policy.fail_fast))
+    return df.withColumns({"_open": F.col("_was") & stays}).drop("_was", "_broke")
 
 
 @dataclass(frozen=True)
