@@ -28,48 +28,79 @@ def unicode_pattern(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
-def leading_words(pattern: str) -> list[str] | None:
-    """Lower-case beginnings of which a match of the pattern must hold one; None if that can't be told."""
-    body = pattern.removeprefix(r"\b")
-    if body.startswith("(?:"):
-        depth, parts, start = 1, [], 3
-        for i in range(3, len(body)):
-            depth += {"(": 1, ")": -1}.get(body[i], 0)
-            if depth == 0 or (depth == 1 and body[i] == "|"):
-                parts.append(body[start:i])
-                start = i + 1
-                if depth == 0:
-                    break
-    else:
-        parts = [body]
-    out = []
-    for part in parts:
-        word = re.match(r"[A-Za-z]*", part)[0]
-        if part[len(word) : len(word) + 1] in ("?", "*", "{"):
-            word = word[:-1]
-        if not word:
-            return None
-        out.append(word.lower())
+def _beginning(part: str) -> str:
+    """The letters that a match of an alternative must begin with."""
+    word = re.match(r"(?:\\b)?([A-Za-z]*)", part)
+    letters = word[1]
+    return letters[:-1] if part[word.end() : word.end() + 1] in ("?", "*", "{") and part[word.end() : word.end() + 1] else letters
+
+
+def required_words(pattern: str) -> list[list[str]]:
+    """Lower-case words, list by list: a match of the pattern holds one of each list.
+
+    Read from what isn't optional at the pattern's top level: runs of letters, and groups whose alternatives all begin with letters.
+    """
+    body, out, i = re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern), [], 0
+    while i < len(body):
+        c = body[i]
+        if c == "|":
+            return []
+        if c == "\\":
+            i += 2
+        elif c == "[":
+            i = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(body, i).end()
+        elif c == "(":
+            depth, j, parts, start = 1, i + 1, [], i + (3 if body.startswith("(?:", i) else 1)
+            while depth:
+                if body[j] == "\\":
+                    j += 1
+                elif body[j] == "[":
+                    j = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(body, j).end() - 1
+                elif body[j] == "(":
+                    depth += 1
+                elif body[j] == ")":
+                    depth -= 1
+                if (depth == 0) or (depth == 1 and body[j] == "|"):
+                    parts.append(body[start:j])
+                    start = j + 1
+                j += 1
+            plain = body.startswith("(?:", i) and body[j : j + 1] not in ("?", "*", "{") or (body.startswith("(?:", i) and not body[j : j + 1])
+            words = [_beginning(x) for x in parts]
+            if plain and all(words):
+                out.append([w.lower() for w in words])
+            i = j
+        elif c.isalpha() and c.isascii():
+            run = re.compile("[A-Za-z]+").match(body, i)
+            word = run[0][:-1] if body[run.end() : run.end() + 1] in ("?", "*", "{") and body[run.end() : run.end() + 1] else run[0]
+            if len(word) > 1:
+                out.append([word.lower()])
+            i = run.end()
+        else:
+            i += 1
+    return out
+
+
+def may_match(probed: Column, pattern: str) -> Column:
+    """Whether a text, by its probe, holds the words that a pattern requires."""
+    out = F.lit(True)
+    for words in required_words(pattern):
+        some = F.lit(False)
+        for w in sorted({v for v in words if not any(v != u and u in v for u in words)}):
+            some = some | F.contains(probed, F.lit(w))
+        out = out & some
     return out
 
 
 def probe(text: Column) -> Column:
-    """What leading words are looked for in: lower case, with the characters that fold to ASCII letters folded."""
+    """What required words are looked for in: lower case, with the characters that fold to ASCII letters folded."""
     return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
 
 
 def matches_any(text: Column, probed: Column, patterns: list[str]) -> Column:
-    """Whether a deny-list pattern matches; a pattern is only tried on texts that hold one of its leading words."""
+    """Whether a deny-list pattern matches; a pattern is only tried on texts that hold the words it requires."""
     out = F.lit(False)
     for p in patterns:
-        words = leading_words(p)
-        hit = text.rlike(unicode_pattern(p))
-        if words is not None:
-            some = F.lit(False)
-            for w in sorted({v for v in words if not any(v != u and v.startswith(u) for u in words)}):
-                some = some | F.contains(probed, F.lit(w))
-            hit = some & hit
-        out = out | hit
+        out = out | (may_match(probed, p) & text.rlike(unicode_pattern(p)))
     return out
 
 

@@ -28,8 +28,8 @@ def turn_markers(view: Column) -> Column:
 
 def many_shot_score(view: Column) -> Column:
     """Null below six faked turns, then growing with their number."""
-    n = turn_markers(view)
-    return F.when(n >= 6, F.least(F.lit(0.6), 0.1 + (n - 6) * 0.05))
+    score = F.transform(F.array(turn_markers(view)), lambda n: F.when(n >= 6, F.least(F.lit(0.6), 0.1 + (n - 6) * 0.05)))
+    return F.element_at(score, 1)
 
 
 def payload_splitting(view: Column, probed: Column | None = None) -> Column:
@@ -41,10 +41,17 @@ def combined(scores: Column) -> Column:
     return F.aggregate(scores, F.lit(1.0), lambda acc, s: acc * (1.0 - F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))), lambda acc: F.round(1.0 - acc, 4))
 
 
-def injection_verdict(view: Column, signals: Column, signatures: list[Signature] | None = None, probed: Column | None = None) -> Column:
-    """struct<score, signals, driver>"""
-    parts = [*signature_scores(view, signatures, probed), *obfuscation_scores(signals), ("heuristic:many_shot", many_shot_score(view)), ("heuristic:payload_splitting", F.when(payload_splitting(view, probed), F.lit(0.4)))]
-    found = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), score.alias("score")) for name, score in parts]), lambda x: x["score"].isNotNull())
+def evidence(view: Column, signals: Column, signatures: list[Signature] | None = None, probed: Column | None = None) -> Column:
+    """(name, score) of all that speaks for an injection."""
+    parts = [
+        *signature_scores(view, signatures, probed), *obfuscation_scores(signals), ("heuristic:many_shot", many_shot_score(view)),
+        ("heuristic:payload_splitting", F.when(payload_splitting(view, probed), F.lit(0.4))),
+    ]
+    return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), score.alias("score")) for name, score in parts]), lambda x: x["score"].isNotNull())
+
+
+def verdict_of(found: Column) -> Column:
+    """struct<score, signals, driver> from evidence; best given as a column of its own, for it is read twice."""
     return F.struct(
         combined(F.transform(found, lambda x: x["score"])).alias("score"),
         F.array_distinct(F.transform(found, lambda x: x["name"])).alias("signals"),

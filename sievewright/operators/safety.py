@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import DETECTION, empty
-from ..functions.text import leading_words, probe, unicode_pattern
+from ..functions.text import may_match, probe, unicode_pattern
 
 UNSAFE_FOUND = "array<struct<value:string,start:int,end:int>>"
 
@@ -34,11 +34,7 @@ def unsafe(current: Column, view: Column, signatures: list[tuple[str, str, float
     none = empty(f"array<{DETECTION}>")
     for category, label, score, patterns in signatures or fixed.UNSAFE:
         for p in patterns:
-            likely = F.lit(True)
-            if (words := leading_words(p)) is not None:
-                likely = F.lit(False)
-                for w in words:
-                    likely = likely | F.contains(probed, F.lit(w))
+            likely = may_match(probed, p)
             p = unicode_pattern(p)
             one = lambda start, end, context: F.struct(F.lit(f"NSFW_{category}").alias("type"), start.alias("start"), end.alias("end"), F.lit(score).alias("score"), F.lit("nsfw").alias("scanner"), context.alias("context"))  # noqa: E731, B023
             seen = F.transform(_spans(current, p), lambda m: one(m["start"], m["end"], F.create_map(F.lit("label"), F.lit(label))))  # noqa: B023

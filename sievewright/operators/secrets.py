@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.checksums import entropy
-from ..functions.spans import find_all
-from ..functions.text import ascii_pattern
+from ..functions.spans import FOUND, empty, find_all
+from ..functions.text import ascii_pattern, may_match
 
 #: (type, score, pattern, needs entropy)
 PATTERNS = [
@@ -28,8 +28,10 @@ VALUE = r"[A-Za-z0-9+/_.=-]{16,200}$"
 def secrets(raw: Column, threshold: float = 3.5, extra: list[tuple[str, float, str, bool]] | None = None) -> Column:
     """Detections on a text as bytes; key=value shapes count only if the value's entropy reaches the threshold. Context keeps a masked print of it."""
 
+    probed = F.lower(raw)
+
     def one(kind: str, score: float, pattern: str, random: bool) -> Column:
-        found = find_all(raw, ascii_pattern(pattern))
+        found = F.when(may_match(probed, pattern), find_all(raw, ascii_pattern(pattern))).otherwise(empty(FOUND))
         if random:
             found = F.filter(found, lambda m: entropy(F.regexp_extract(m["value"], VALUE, 0)) >= threshold)
         return F.transform(

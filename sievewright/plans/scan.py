@@ -132,7 +132,8 @@ def scan_injection(df: DataFrame, policy: Policy, direction: str, s: Settings) -
         return df
     own = [*fixed.INJECTION, *s.signatures]
     df = df.withColumns({"_probe": tx.probe(F.col("_normalized"))})
-    df = df.withColumns({"_verdict": injection.injection_verdict(F.col("_normalized"), F.col("_signals"), own, F.col("_probe"))}).drop("_probe")
+    df = df.withColumns({"_evidence": injection.evidence(F.col("_normalized"), F.col("_signals"), own, F.col("_probe"))})
+    df = df.withColumns({"_verdict": injection.verdict_of(F.col("_evidence"))}).drop("_probe", "_evidence")
     if s.judge is not None:
         df = layered(df, s.judge)
     score, action = F.col("_verdict.score"), policy.action("injection", BLOCK)
