@@ -92,7 +92,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer pieces than there are cores (a small file can't be split) are dealt out once, since scans are bound by CPU."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def cases(spark: SparkSession) -> DataFrame:
@@ -416,8 +421,8 @@ def _(spark, sf_dir):
 
 @query("injection_signatures", f"WITH {CHAIN} " + " UNION ALL ".join(f"SELECT id, '{kind}' AS type FROM n5 WHERE {' OR '.join(f'regexp_matches(e, {re2(p, "i")})' for p in patterns)}" for kind, _, patterns in fixed.INJECTION))
 def _(spark, sf_dir):
-    df = chained(texts(spark, sf_dir))
-    hits = F.array(*[F.when(score.isNotNull(), F.lit(kind)) for kind, score in injection.signature_scores(F.col("e"))])
+    df = chained(texts(spark, sf_dir)).withColumn("p", tx.probe(F.col("e")))
+    hits = F.array(*[F.when(score.isNotNull(), F.lit(kind)) for kind, score in injection.signature_scores(F.col("e"), probed=F.col("p"))])
     return df.select("id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("type"))
 
 
@@ -470,7 +475,8 @@ def _(spark, sf_dir):
 
 @query("nsfw_match", f"WITH {SRC} " + " UNION ALL ".join(f"SELECT id, 'NSFW_{c}' AS type, s AS start, s + strlen(value) AS \"end\", {score}::DOUBLE AS score FROM ({spans_sql('src', 'text', re2(p, 'i'))})" for c, _, score, patterns in fixed.UNSAFE for p in patterns))
 def _(spark, sf_dir):
-    return span_rows(texts(spark, sf_dir), safety.unsafe(F.col("text"), F.col("text")))
+    df = texts(spark, sf_dir).withColumn("p", tx.probe(F.col("text")))
+    return span_rows(df, safety.unsafe(F.col("text"), F.col("text"), probed=F.col("p")))
 
 
 OPENAI_ROWS = [(1, "hate", 0.2), (1, "harassment", 0.7), (1, "sexual/minors", 0.01), (2, "violence", 0.4), (2, "unheard-of", 0.9), (3, "illicit", 0.0)]
