@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from sievewright.llm.common import materialize, read_table
 from sievewright.llm.decontam import decontaminate
 from sievewright.llm.line_dedup import MIN_CHARS, dedup_lines
+from sievewright.llm.near_dup import near_components
 from sievewright.llm.quality import keep_good
 from sievewright.llm.segment import encoded
-from sievewright.llm.simhash import simhash_components
 
 #: SQL has no trained ranking, no XXH64 and no piece lattice.
 ORACLE_SQL = None
@@ -41,8 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: that with the smallest doc_id."""
-    first = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    """One document of each component of near-duplicates (5-word shingles, similarity 0.8): that with the smallest doc_id."""
+    first = near_components(docs, similarity=0.8, words=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
 
 

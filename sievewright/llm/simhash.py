@@ -11,7 +11,7 @@ by further bits in the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -31,24 +31,36 @@ VARIANTS_AT_ONCE = 1 << 21
 _SHINGLES_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """64 bits: each is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, words: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """The hashes of the shingles in blocks; nothing for a text without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return 0
+        return
     whole = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
-    sums, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, _SHINGLES_AT_ONCE):
         k = min(n, i + _SHINGLES_AT_ONCE)
         a, b = starts[i:k].tolist(), (ends[i + words - 1 : k + words - 1] if len(parts) >= words else ends[-1:]).tolist()
-        h = np.array([digest(whole[x:y], seed) for x, y in zip(a, b, strict=True)], np.uint64)
+        yield np.array([digest(whole[x:y], seed) for x, y in zip(a, b, strict=True)], np.uint64)
+
+
+def fingerprint_of(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits: each is 1 if set in over half of the hashes."""
+    sums, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int((sums * 2 > n).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """64 bits: each is 1 if set in over half of the shingles' hashes."""
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
