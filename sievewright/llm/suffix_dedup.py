@@ -4,7 +4,8 @@ Every window of `width` bytes has an anchor, the least hash of its GRAM-byte gra
 equal places, so the windows of one anchor, with the bytes they span (a context), only need comparing with those of
 equal anchor hashes. That deals the corpus into shards without losing a pair: contexts that are alone under their hash
 leave at once; equal contexts (copies of documents, the inside of shared passages) are settled by their digests, without
-their bytes; and only one of each of the different contexts under a hash goes to a shard. There its suffixes are sorted
+their bytes; and only one of each of the different contexts under a hash goes to a shard. A hash with more of them than
+a shard holds is dealt out by more of the bytes around the anchor, by whole windows at last. In a shard, suffixes are sorted
 by external induced sorting with common-prefix values, and a window whose common prefix with a neighbour reaches the
 width is repeated.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .induced_sort import repeated_starts
 GRAM = 64
 #: Bytes of a text looked at together, and bytes of contexts after which a shard is closed at the next new hash.
 _SLICE, SHARD_BYTES = 4 << 20, 4 << 20
+#: Windows dealt out together where a key has too many contexts; the next step where that still leaves too many.
+_STEPS = (64, 8, 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -179,18 +183,74 @@ def _shards(width: int, shard_bytes: int):
     return run
 
 
+def _finer(rows: DataFrame, kind: str, width: int, step: int) -> DataFrame:
+    """The rows of _anchors for groups of `step` windows by their distance to the anchor; rows: doc_id, sum, text, wanted.
+
+    The key is that of the bytes which all windows of a group cover. Equal windows have equal distances to their anchors
+    and so equal keys; a step of 1 has whole windows for keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            took: list[int] = []
+            for i, (text, wanted) in enumerate(zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True)):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                for w in wanted:
+                    (_, place, _, _), *_ = anchored(raw[w["first"] : w["last"] + width], width)
+                    place += w["first"]
+                    for k in range((place - w["last"]) // step, (place - w["first"]) // step + 1):
+                        first, last = max(w["first"], place - (k + 1) * step + 1), min(w["last"], place - k * step)
+                        core = raw[place - k * step : place - (k + 1) * step + 1 + width]
+                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(8, "little"), person=step.to_bytes(8, "little")).digest(), "little", signed=True)
+                        digest = hashlib.blake2b(raw[first : last + width], digest_size=12, salt=(place - first).to_bytes(8, "little")).digest()
+                        out.append((key, digest, first, last))
+                        took.append(i)
+                        if len(out) >= 1 << 16:
+                            yield _anchor_rows(b, took, out)
+                            out, took = [], []
+            if out:
+                yield _anchor_rows(b, took, out)
+
+    return rows.mapInArrow(run, f"key long, digest binary, doc_id {kind}, sum long, first int, last int")
+
+
+def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, sum, text, wanted: the documents that have any of the rows, with these."""
+    wanted = rows.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "last", "key", "settled")).alias("wanted"))
+    mine = wanted.select(F.col("doc_id").alias("w_id"), F.col("sum").alias("w_sum"), "wanted")
+    return docs.join(mine, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sum") == F.col("w_sum"))).select("doc_id", "sum", "text", "wanted")
+
+
+def dealt_out(docs: DataFrame, width: int, kind: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sum, first, last) of windows known to be repeated, and the contexts to compare (doc_id, sum, first, last, key, settled).
+
+    A key with over `most` different contexts (a common passage, shorter than the width, among different texts) is
+    dealt out by finer keys, so no key has more in the end.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ", ".join(["doc_id " + kind, "sum long", "first int", "last int", "key long", "settled byte"])
+    found, compare, rows = [], [], _anchors(docs, kind, width)
+    for step in (*_STEPS, None):
+        settled = materialize(rows.repartition(tasks, "key").sortWithinPartitions("key", "digest").mapInArrow(_settle, columns), "anchors")
+        found.append(settled.filter("settled <> 0").select("doc_id", "sum", "first", "last"))
+        open_ = settled.filter("settled <> 1")
+        hot = materialize(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "hot-keys")
+        if step is None or hot.isEmpty():
+            compare.append(open_)
+            break
+        compare.append(open_.join(F.broadcast(hot), "key", "left_anti").select(*open_.columns))
+        rows = _finer(_with_text(docs, open_.join(F.broadcast(hot), "key", "left_semi")), kind, width, step)
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, compare)
+
+
 def repeated_windows(docs: DataFrame, width: int, kind: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, sum, first, last): runs of window starts that are repeated; docs: doc_id, text, sum (of the text)."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ", ".join(["doc_id " + kind, "sum long", "first int", "last int", "key long", "settled byte"])
-    dealt = _anchors(docs, kind, width).repartition(tasks, "key").sortWithinPartitions("key", "digest")
-    settled = materialize(dealt.mapInArrow(_settle, columns), "anchors")
-    wanted = settled.filter("settled <> 1").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "last", "key", "settled")).alias("wanted"))
-    mine = wanted.select(F.col("doc_id").alias("w_id"), F.col("sum").alias("w_sum"), "wanted")
-    rows = docs.join(mine, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sum") == F.col("w_sum")))
-    contexts = _contexts(rows.select("doc_id", "sum", "text", "wanted"), kind, width).repartition(tasks, "key").sortWithinPartitions("key")
+    found, compare = dealt_out(docs, width, kind, max(2, shard_bytes // (2 * width)))
+    contexts = _contexts(_with_text(docs, compare), kind, width).repartition(tasks, "key").sortWithinPartitions("key")
     compared = contexts.mapInArrow(_shards(width, shard_bytes), f"doc_id {kind}, sum long, first int, last int")
-    return settled.filter("settled <> 0").select("doc_id", "sum", "first", "last").unionByName(compared)
+    return found.unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
