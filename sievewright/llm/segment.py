@@ -279,34 +279,72 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(marked(text))
 
 
-def nbest_scores(chunks: list[str], numbers: np.ndarray, n: int, memory: Memory) -> list[int]:
-    """The scores of the n best segmentations of a text, given by its chunks and their numbers.
+def _choices(chunk: str, best: tuple[int, list[int]], n: int, most: int, pieces: Pieces) -> list[tuple[int, list[int]]]:
+    """The n best (score, ids) of a chunk, the one that is remembered as its best first."""
+    found = pieces.nbest(chunk, n, most)
+    return [best, *[x for x in found if x[1] != best[1]]][: len(found)]
+
+
+def nbest_paths(chunks: list[str], numbers: np.ndarray, n: int, memory: Memory) -> list[tuple[int, dict[int, list[int]]]]:
+    """The n best segmentations of a text, given by its chunks and their numbers: score, and the ids of those chunks that aren't segmented as in the best.
 
     A chunk takes part with its second choice only if fewer than n - 1 others have cheaper ones. The k-th cheapest, from
     0 on, takes part with n - k of its own best at most, and a choice that loses no less than n others isn't looked for.
+    Equal scores come in a fixed order.
     """
     total, loss = int(memory.score[numbers].sum()), memory.loss[numbers]
     likely = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n > 1 else np.arange(len(loss))[: n - 1]
     likely = [(x, i) for x, i in sorted(zip(loss[likely].tolist(), likely.tolist(), strict=True)) if x < NEVER]
     most = likely[-1][0] if len(likely) == n - 1 and n > 1 else NEVER
-    losses = [0]
+    paths: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
+    known: dict[int, list[tuple[int, list[int]]]] = {}
+
+    def choices(i: int, n: int, most: int) -> list[tuple[int, list[int]]]:
+        best = int(memory.score[numbers[i]]), memory.ids_of(numbers[i : i + 1]).tolist()
+        return _choices(chunks[i], best, n, most, memory.pieces)
+
     for k, (x, i) in enumerate(likely):
         own = [0, x]
         if n - k > 2 and x < most:
-            best = int(memory.score[numbers[i]])
-            own = [best - score for score, _ in memory.pieces.nbest(chunks[i], n - k, most)]
-        losses = heapq.nsmallest(n, [a + b for a in losses for b in own])
-    return [total - x for x in losses]
+            known[i] = choices(i, n - k, most)
+            own = [known[i][0][0] - score for score, _ in known[i]]
+        paths = heapq.nsmallest(n, [(a + b, (*path, (i, r)) if r else path) for a, path in paths for r, b in enumerate(own)], key=lambda x: x[0])
+    out = []
+    for x, path in paths:
+        for i, _ in path:
+            if i not in known:
+                known[i] = choices(i, 2, NEVER)
+        out.append((total - x, {i: known[i][r][1] for i, r in path}))
+    return out
 
 
-def encode_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """For each text the ids of the best segmentation and the scores of the n best."""
+def nbest_scores(chunks: list[str], numbers: np.ndarray, n: int, memory: Memory) -> list[int]:
+    """The scores of the n best segmentations of a text."""
+    return [score for score, _ in nbest_paths(chunks, numbers, n, memory)]
+
+
+def nbest_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """For each text the ids and the scores of the n best segmentations, best first."""
     chunks = list(map(chunks_of, texts))
     numbers = memory.learn([c for own in chunks for c in own])
     stops = np.cumsum([len(own) for own in chunks]).tolist()
     for own, stop in zip(chunks, stops, strict=True):
         mine = numbers[stop - len(own) : stop]
-        yield memory.ids_of(mine), nbest_scores(own, mine, n, memory)
+        best, ends, every, scores = memory.ids_of(mine), np.cumsum(memory.size[mine]), [], []
+        for score, changed in nbest_paths(own, mine, n, memory):
+            parts, done = [], 0
+            for i in sorted(changed):
+                parts += [best[done : int(ends[i] - memory.size[mine[i]])], np.array(changed[i], np.int32)]
+                done = int(ends[i])
+            every.append(np.concatenate((*parts, best[done:])) if parts else best)
+            scores.append(score)
+        yield every, scores
+
+
+def encode_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """For each text the ids of the best segmentation and the scores of the n best."""
+    for every, scores in nbest_group(texts, n, memory):
+        yield every[0], scores
 
 
 def decode(ids: np.ndarray, pieces: Pieces) -> str:
@@ -315,11 +353,12 @@ def decode(ids: np.ndarray, pieces: Pieces) -> str:
     return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-def encoded(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256 (ids as 32-bit little-endian), nbest_scores, round_trip, and the ids if asked for.
+def encoded(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False, with_nbest_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256 (ids as 32-bit little-endian), nbest_scores, round_trip, nbest_sha256, and the ids of the best and of all n if asked for.
 
     nbest_scores: the scores of the n best segmentations of the whole text, best first, fewer where there are fewer.
-    round_trip: decoding the ids gives the text again (a mark in the text comes back as a space and counts as one).
+    nbest_sha256, nbest_ids: digests of the ids, and the ids, of these segmentations in the same order; the first is the best.
+    round_trip: decoding the ids of each of them gives the text again (a mark in the text comes back as a space and counts as one).
     Null and empty texts have no tokens and one segmentation, of score 0. Whole texts are segmented; repeated rows and
     null ids are treated like any other; an empty table gives no rows.
     """
@@ -331,17 +370,21 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False
             texts = b["text"].to_pylist()
             for i in range(0, len(texts), _GROUP):
                 part = texts[i : i + _GROUP]
-                ids, scores = zip(*encode_group(part, n, memory), strict=True)
-                same = [decode(x, pieces) == (t or "").replace(MARK, " ") for x, t in zip(ids, part, strict=True)]
+                every, scores = zip(*nbest_group(part, n, memory), strict=True)
+                ids = [x[0] for x in every]
+                same = [all(decode(y, pieces) == (t or "").replace(MARK, " ") for y in x) for x, t in zip(every, part, strict=True)]
+                digests = [[hashlib.sha256(y.tobytes()).hexdigest() for y in x] for x in every]
                 columns = [
-                    b["doc_id"].slice(i, _GROUP), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array(scores, pa.list_(pa.int64())), pa.array(same, pa.bool_()),
+                    b["doc_id"].slice(i, _GROUP), pa.array([len(x) for x in ids], pa.int64()), pa.array([x[0] for x in digests]),
+                    pa.array(scores, pa.list_(pa.int64())), pa.array(same, pa.bool_()), pa.array(digests, pa.list_(pa.string())),
                 ]
                 if with_ids:
                     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                if with_nbest_ids:
+                    columns.append(pa.array([[y.tolist() for y in x] for x in every], pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "nbest_scores", "round_trip"] + ["ids"] * with_ids
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, nbest_scores array<long>, round_trip boolean" + ", ids array<int>" * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "nbest_scores", "round_trip", "nbest_sha256"] + ["ids"] * with_ids + ["nbest_ids"] * with_nbest_ids
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, nbest_scores array<long>, round_trip boolean, nbest_sha256 array<string>" + ", ids array<int>" * with_ids + ", nbest_ids array<array<int>>" * with_nbest_ids
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
