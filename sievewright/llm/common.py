@@ -15,9 +15,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, or below an own local one where that is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir, or below an own local one where that is unset and Spark is local (tests).
+
+    A cluster without that setting is refused: its nodes don't see each other's folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -40,6 +45,20 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def where_id(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is ("left_semi") or isn't ("left_anti") in the one column of ids; null equals null."""
+    name = fresh(docs, "wanted_id")
+    return docs.join(ids.toDF(name), F.col(f"`{id_col}`").eqNullSafe(F.col(name)), how)
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two needed columns, renamed, so that further columns can't clash."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

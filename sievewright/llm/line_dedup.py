@@ -1,6 +1,6 @@
-"""Line dedup by a deletion-neighbourhood join: near-equal lines go, the earliest stays.
+"""Line dedup by a deletion-neighbourhood join: equal and near-equal lines go, the earliest stays.
 
-Two lines within one edit agree in a half, so lines without a partner in either half leave first. The others emit the
+The edit bound is one for lines of MIN_CHARS characters and more; shorter ones must be equal. Two lines within one edit agree in a half, so lines without a partner in either half leave first. The others emit the
 hash of themselves and of each variant with one character deleted; equal keys meet, and within a key every line is
 joined with the earliest one only, never with all. The edit distance of what met is verified on the texts.
 """
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, remove
+from .common import fresh, id_text, materialize, remove
 
-#: Shorter lines always stay: one edit makes half of them something else.
+#: Below this length the edit bound is zero: one edit makes something else of a short line.
 MIN_CHARS = 12
+#: A line of these alone is blank.
+SPACES = " \t\x0b\x0c\r"
 _SEEN_AT_ONCE = 1 << 18
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -68,40 +70,50 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     return cols[0], cols[1]
 
 
+def _agreeing(a: str, b: str) -> int:
+    """How many characters two strings have in common from the start on, by halving: compared in blocks, not one by one."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def within_one(a: str, b: str) -> bool:
     """Whether the edit distance is one at most."""
     if abs(len(a) - len(b)) > 1:
         return False
-    i, m = 0, min(len(a), len(b))
-    while i < m and a[i] == b[i]:
-        i += 1
+    i = _agreeing(a, b)
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i:]
 
 
 def _lines(docs: DataFrame, kind: str, least: int) -> DataFrame:
-    """(lid, doc_id, line_no, halves): the first occurrence of each line among the rows of a batch."""
+    """(lid, doc_id, line_no, halves): the first occurrence of each line that isn't blank among the rows of a batch; no halves below the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[bytes, tuple] = {}
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 for k, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least:
+                    if line.strip(SPACES):
                         at = (doc is None, doc, k)
                         lid = line_id(line)
                         if lid not in seen or at < seen[lid][0]:
                             seen[lid] = (at, line)
                 if len(seen) > _SEEN_AT_ONCE:
-                    yield _line_rows(seen, b.schema.field("doc_id").type)
+                    yield _line_rows(seen, b.schema.field("doc_id").type, least)
                     seen = {}
-            yield _line_rows(seen, b.schema.field("doc_id").type)
+            yield _line_rows(seen, b.schema.field("doc_id").type, least)
 
     return docs.mapInArrow(run, f"lid binary, doc_id {kind}, line_no int, halves array<long>")
 
 
-def _line_rows(seen: dict, kind: pa.DataType) -> pa.RecordBatch:
+def _line_rows(seen: dict, kind: pa.DataType, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.binary()), pa.array([x[0][1] for x in seen.values()], kind), pa.array([x[0][2] for x in seen.values()], pa.int32()), pa.array([half_keys(x[1]) for x in seen.values()], pa.list_(pa.int64()))],
+        [pa.array(list(seen), pa.binary()), pa.array([x[0][1] for x in seen.values()], kind), pa.array([x[0][2] for x in seen.values()], pa.int32()), pa.array([half_keys(x[1]) if len(x[1]) >= least else [] for x in seen.values()], pa.list_(pa.int64()))],
         ["lid", "doc_id", "line_no", "halves"],
     )
 
@@ -178,6 +190,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(later, pa.binary()), pa.array(before, pa.binary())], ["x", "y"])
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose lines are within one edit."""
+    for b in batches:
+        yield b.filter(pa.array([within_one(x.as_py(), y.as_py()) for x, y in zip(b["line_x"], b["line_y"], strict=True)], pa.bool_()))
+
+
 def near_first(docs: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Two materialized frames: all distinct lines (lid, doc_id, line_no) at their first place, and those of them that have an earlier one within one edit."""
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
@@ -195,8 +213,9 @@ def near_first(docs: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataF
     pairs = keyed.repartition(tasks, "k1", "k2").sortWithinPartitions(*order).select("k1", "k2", "place", "lid").mapInArrow(_met, "x binary, y binary").distinct()
     x = survivors.select(F.col("lid").alias("x"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("at_x"), F.col("line").alias("line_x"))
     y = survivors.select(F.col("lid").alias("y"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("at_y"), F.col("line").alias("line_y"))
-    checked = pairs.join(x, "x").join(y, "y")
-    near = checked.filter(F.levenshtein("line_x", "line_y", 1) >= 0)
+    # levenshtein() walks a line from its start for each of its characters, which long lines don't bear
+    checked = pairs.join(x, "x").join(y, "y").select("x", "at_x", "line_x", "y", "at_y", "line_y")
+    near = checked.mapInArrow(_verified, checked.schema)
     late = near.select(F.when(F.col("at_x") > F.col("at_y"), F.struct("x", "at_x")).otherwise(F.struct(F.col("y").alias("x"), F.col("at_y").alias("at_x"))).alias("r"))
     dropped = materialize(late.select(F.col("r.x").alias("lid"), F.col("r.at_x.doc_id").alias("doc_id"), F.col("r.at_x.line_no").alias("line_no")).distinct(), "near-lines")
     remove(survivors)
@@ -206,35 +225,36 @@ def near_first(docs: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataF
 def _kept_places(docs: DataFrame, kind: str, least: int) -> DataFrame:
     first, dropped = near_first(docs, kind, least)
     stay = first.join(dropped.select("lid"), "lid", "left_anti")
-    return stay.groupBy(F.col("doc_id").alias("kept_doc")).agg(F.collect_list("line_no").alias("stays"))
+    return stay.groupBy("doc_id").agg(F.collect_list("line_no").alias("stays"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with `text` rewritten, and n_lines and n_dropped added (columns of these names are replaced).
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents, all columns, with `text` rewritten, and the columns named by `counts` added (lines before, lines dropped; columns of these names are replaced).
 
-    A line (what stands between newlines) of at least min_chars characters goes if an earlier line of the corpus, by
-    (id, line number), equals it or is within one edit (a character inserted, deleted or replaced), whether or not that
-    earlier line stays itself. Shorter lines, blank ones among them, always stay. Null stays null and an empty text
+    A line (what stands between newlines) goes if an earlier line of the corpus, by (id, line number), equals it, or if
+    both have at least min_chars characters and are within one edit (a character inserted, deleted or replaced),
+    whether or not that earlier line stays itself. Blank lines always stay. Null stays null and an empty text
     empty. Rows that repeat an id are taken as one document. A null id comes after all others. Line order, and all
     else of a row, is unchanged; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    places = _kept_places(id_text(docs, id_col, text_col), kind, min_chars)
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in rest]).join(places, F.col(f"`{id_col}`").eqNullSafe(F.col("kept_doc")), "left").drop("kept_doc")
+    rest = [c for c in docs.columns if c not in counts]
+    kept_doc, stays = fresh(docs, "kept_doc"), fresh(docs, "stays")
+    places = _kept_places(id_text(docs, id_col, text_col), kind, min_chars).toDF(kept_doc, stays)
+    joined = docs.select(*[F.col(f"`{c}`") for c in rest]).join(places, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_doc)), "left").drop(kept_doc)
     text_at = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, gone = [], [], []
-            for text, stays in zip(b[text_at].to_pylist(), b["stays"].to_pylist(), strict=True):
-                lines, stay = (text or "").split("\n"), frozenset(stays or ())
-                left = [x for k, x in enumerate(lines) if len(x) < min_chars or k in stay]
+            for text, own in zip(b[text_at].to_pylist(), b[len(rest)].to_pylist(), strict=True):
+                lines, stay = (text or "").split("\n"), frozenset(own or ())
+                left = [x for k, x in enumerate(lines) if k in stay or not x.strip(SPACES)]
                 texts.append(None if text is None else "\n".join(left))
                 total.append(len(lines) if text else 0)
                 gone.append(len(lines) - len(left))
             columns = [pa.array(texts, pa.string()) if i == text_at else b[i] for i in range(len(rest))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*rest, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*rest, *counts])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumns(dict.fromkeys(counts, F.lit(0).cast("long"))).schema
     return joined.mapInArrow(run, schema)

@@ -19,8 +19,8 @@ def odd_docs(spark, tmp_path_factory):
         (9, prose(3, 60) + "\n" + prose(4, 90), "x"), (10, prose(5, 20) + "\n" + prose(4, 90) + "\n" + prose(6, 5), "x"), (11, "é 中文 😀 ﬁ", "x"), (12, "word " * 30000, "x"),
         (12, "word " * 30000, "x"), (None, prose(7, 40), "x"), (14, "one line of forty characters, more or less\nshort", "x"), (15, "one line of forty characters, more or Less\nshort", "x"),
     ]
-    schema = "doc_id long, text string, source string, sum string, key int, first string, digest string, n int"
-    return spark.createDataFrame([(i, t, s, "s", 1, "f", "d", 2) for i, t, s in rows], schema)
+    schema = "doc_id long, text string, source string, sum string, key int, first string, digest string, n int, kept_doc int, stays string, first_id int, bad_id int, wanted_id int, n_dropped string, verdict string"
+    return spark.createDataFrame([(i, t, s, "s", 1, "f", "d", 2, 3, "t", 4, 5, 6, "u", "v") for i, t, s in rows], schema)
 
 
 @pytest.fixture()
