@@ -37,6 +37,30 @@ def test_exact_dedup(odd_docs, tmp_path, digits):
     assert table(got) == table(want)
 
 
+def test_exact_dedup_joins_many_hits_by_a_shuffle(odd_docs, tmp_path):
+    path = str(tmp_path / "docs")
+    odd_docs.write.parquet(path)
+    spark = odd_docs.sparkSession
+    for digits in (64, 1):
+        got = exact_dedup(spark, path, digest_hex=digits, hits_broadcast=0)
+        assert table(got.collect()) == table(exact_dedup(spark, path).collect())
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    path, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    first = [("b", "one text"), ("c", "another"), ("d", None)]
+    spark.createDataFrame(first, "doc_id string, text string").write.parquet(path)
+    kept = {r.doc_id: r.keep_id for r in exact_dedup(spark, path, state_dir=state).collect()}
+    assert kept == {"b": "b", "c": "c", "d": "d"}
+    spark.createDataFrame([("a", "one text"), ("e", "one  text"), ("a", "")], "doc_id string, text string").write.mode("append").parquet(path)
+    keys = spark.read.parquet(f"{state}/keys").count()
+    rows = exact_dedup(spark, path, state_dir=state).collect()
+    assert keys == 3 and spark.read.parquet(f"{state}/keys").count() == 6
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [("a", "a", 2), ("a", "e", 3), ("b", "e", 3), ("c", "c", 1), ("d", "a", 2), ("e", "e", 3)]
+    assert table(exact_dedup(spark, path).select("doc_id", "keep_id", "group_size").collect()) == table([r[:3] for r in rows])
+    assert table(exact_dedup(spark, path, state_dir=state).collect()) == table(rows)  # nothing new: nothing is counted twice
+
+
 def test_exact_dedup_of_nothing(no_docs, tmp_path):
     path = str(tmp_path / "none")
     no_docs.write.parquet(path)
@@ -156,13 +180,13 @@ def slow_lines(rows, least=12):
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for k, line in enumerate((t or "").split("\n")):
-            if len(line) >= least:
+            if line.strip(" \t\r\v\f"):
                 first.setdefault(line, (i is None, i or 0, k))
-    gone = {max(a, b, key=first.get) for a in first for b in first if a < b and within_one(a, b)}
+    gone = {max(a, b, key=first.get) for a in first for b in first if a < b and min(len(a), len(b)) >= least and within_one(a, b)}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        left = [x for k, x in enumerate(lines) if len(x) < least or (first[x] == (i is None, i or 0, k) and x not in gone)]
+        left = [x for k, x in enumerate(lines) if not x.strip(" \t\r\v\f") or (first[x] == (i is None, i or 0, k) and x not in gone)]
         out.append((i, None if t is None else "\n".join(left), len(lines) if t else 0, len(lines) - len(left)))
     return out
 
@@ -170,7 +194,7 @@ def slow_lines(rows, least=12):
 def test_line_dedup(odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = dedup_lines(odd_docs)
-    assert got.columns == [*[c for c in odd_docs.columns], "n_lines", "n_dropped"]
+    assert got.columns == [*[c for c in odd_docs.columns if c != "n_dropped"], "n_lines", "n_dropped"]
     assert table(got.select("doc_id", "text", "n_lines", "n_dropped").collect()) == table(slow_lines(rows))
 
 
@@ -194,6 +218,19 @@ def test_line_dedup_near_lines(spark):
     assert table(got.collect()) == table(slow_lines(rows))
 
 
+def test_short_lines_are_equal_or_differ(spark):
+    rows = [(1, "ok\nyes\nlonger than twelve"), (2, "ok\n\nyeS\n \nlonger than twelv3"), (3, "ok\n\n"), (4, "elevenchars\ntwelve chars")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "\nyeS\n ", 3: "\n", 4: rows[3][1]}
+
+
+def test_very_long_lines_that_are_near_equal(spark):
+    line = "".join(random.Random(4).choice("abcdef gh") for _ in range(1_000_000))
+    rows = [(1, line), (2, line[:500_000] + line[500_001:]), (3, line[:700_000] + "X" + line[700_001:]), (4, line[:200_000]), (5, line[1:200_000]), (6, line[2:200_000])]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(1, 0), (2, 1), (3, 1), (4, 0), (5, 1), (6, 1)]
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert dedup_lines(no_docs).count() == 0
 
