@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import materialize, read_table
+from sievewright.llm.common import fresh, materialize, read_table, where_id
 from sievewright.llm.decontam import decontaminate
-from sievewright.llm.line_dedup import MIN_CHARS, dedup_lines
+from sievewright.llm.line_dedup import dedup_lines
 from sievewright.llm.near_dup import near_components
 from sievewright.llm.quality import keep_good
 from sievewright.llm.segment import encoded
@@ -29,27 +29,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated and near-equal lines; n_chars follows.
 
-    A document goes when lines were dropped and none of MIN_CHARS characters is left: all it said stands elsewhere.
+    A document goes when lines were dropped and only blank ones are left: all it said stands elsewhere.
     """
-    out = dedup_lines(docs)
-    left = F.exists(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.length(line) >= MIN_CHARS)
-    out = out.filter((F.col("n_dropped") == 0) | left)
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    if kind is not None:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    total, dropped = fresh(docs, "lines_before"), fresh(docs, "lines_dropped")
+    out = dedup_lines(docs, counts=(total, dropped))
+    touched = F.col(dropped) > 0
+    out = out.filter(~touched | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(touched, length).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (5-word shingles, similarity 0.8): that with the smallest doc_id."""
-    first = near_components(docs, similarity=0.8, words=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    near = near_components(docs, similarity=0.8, words=5)
+    return where_id(docs, near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't contaminated by the benchmark."""
-    bad = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The documents in which no 13 consecutive words of a benchmark item, and no whole shorter item, occur.
+
+    A single occurrence is enough: what op5 calls contaminated is a share of a document's words, by which a passage in
+    a long document would stay in the corpus.
+    """
+    return where_id(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct(), "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
