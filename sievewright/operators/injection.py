@@ -61,6 +61,7 @@ def verdict_of(found: Column) -> Column:
 
 def fenced(text: Column) -> Column:
     """Text as data in a prompt: fences inside it are broken, then it is fenced."""
-    out = F.regexp_replace(text, "(?i)<<<DATA", "<<< DATA")
-    out = F.regexp_replace(out, "(?i)DATA>>>", "DATA >>>")
-    return F.concat(F.lit("<<<DATA\n"), out, F.lit("\nDATA>>>"))
+    opened, closed = fixed.FENCES
+    out = F.regexp_replace(text, f"(?i){opened}", "<<< DATA")
+    out = F.regexp_replace(out, f"(?i){closed}", "DATA >>>")
+    return F.concat(F.lit(f"{opened}\n"), out, F.lit(f"\n{closed}"))

@@ -28,11 +28,19 @@ def types_of(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda d: d["type"]))
 
 
+def _payload(d: Column) -> Column:
+    return F.struct(*[d[name].alias(name) for name in ("type", "start", "end", "score")])
+
+
 EVENT_OF = {"injection": "injection_detected", "pii": "pii_redacted", "secret": "secret_blocked"}
 
 
 def events(df: DataFrame, direction: str, verdict: str = "verdict") -> DataFrame:
-    """One row per event: a stage with detections has one of its kind, and on output a refusal another."""
+    """One row per event: a stage with detections has one of its kind, and on output a refusal another.
+
+    Each carries its payload: the stage's detections with their places (never the texts there), and their types, which
+    are the kinds of personal data of a pii event and the categories or signatures of the others.
+    """
     keys = [F.col(f"`{c}`") for c in df.columns if c not in (verdict, f"{verdict}_signals", "text")]
     names = F.create_map(*[F.lit(x) for pair in EVENT_OF.items() for x in pair])
     each = df.select(*keys, F.explode(f"{verdict}.results").alias("_r")).filter(F.size("_r.detections") > 0)
@@ -40,5 +48,5 @@ def events(df: DataFrame, direction: str, verdict: str = "verdict") -> DataFrame
     rows = each.withColumn("event", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
     return rows.select(
         *keys, "event", F.lit(direction).alias("direction"), F.col("_r.scanner").alias("scanner"), F.col("_r.risk_score").alias("risk_score"), (~F.col("_r.valid")).alias("blocked"),
-        F.array_sort(types_of(F.col("_r.detections"))).alias("types"), F.size("_r.detections").cast("long").alias("n_detections"),
+        F.array_sort(types_of(F.col("_r.detections"))).alias("types"), F.size("_r.detections").cast("long").alias("n_detections"), F.transform("_r.detections", _payload).alias("detections"),
     )

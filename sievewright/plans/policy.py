@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from ..functions import fixed
+
 INPUT, OUTPUT, RETRIEVAL = "input", "output", "retrieval"
 DETECT, SANITIZE, BLOCK = "detect", "sanitize", "block"
 OPEN, CLOSED = "open", "closed"
@@ -126,6 +128,7 @@ class PolicyBuilder:
         return self._policy
 
 
+# The built-in profiles.
 STRICT = Policy("strict", thresholds={"injection": 0.5, "nsfw": 0.4}, default_threshold=0.5)
 BALANCED = Policy("balanced", thresholds={"injection": 0.7, "nsfw": 0.6}, fail_modes={"injection": OPEN, "pii": CLOSED, "secret": CLOSED})
 PERMISSIVE = Policy(
@@ -140,10 +143,10 @@ PERMISSIVE = Policy(
 
 
 class Policies:
-    """Policies by name; the built-in ones take the configured fail modes on top, defined ones don't."""
+    """Policies by name; the built-in ones take the usual fail modes, changed by those given, on top, defined ones don't."""
 
     def __init__(self, default: str = "balanced", fail_modes: dict[str, str] | None = None) -> None:
-        self.default, self._overlay = default, fail_modes or {}
+        self.default, self._overlay = default, {**fixed.FAIL_MODES, **(fail_modes or {})}
         self._defined: dict[str, Policy | Callable[[PolicyBuilder], PolicyBuilder]] = {}
         self._built: dict[str, Policy] = {}
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, text as tx
 from ..functions.spans import DETECTION, as_bytes, detection, empty, from_bytes, resolve_overlaps, rewrite, risk
@@ -50,10 +53,15 @@ class Settings:
     system_prompt: str | None = None
     allowed_domains: tuple[str, ...] = ()
     require_json: bool = False
-    #: A frame (text, score, category, error) of a judge's answers, asked only for rows below the escalation score.
+    #: Further steps of the detection view, in order: a name, raised as a signal where the step changes something, and the step.
+    normalizers: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+    #: Adds _judged (score, category, error) for the rows with `_ask`: those below the escalation score (drivers.judge_stage).
     judge: Callable[[DataFrame], DataFrame] | None = None
     #: Columns of the frame with a provider's verdict: map<code, score>, flag, and an error message or null.
     moderation: tuple[str, str, str] | None = None
+    #: Adds _moderated (categories, flagged, error) for the rows with `_ask` (drivers.moderation_stage), and the name of the provider.
+    moderator: Callable[[DataFrame], DataFrame] | None = None
+    moderator_name: str = "provider"
 
 
 Stage = Callable[[DataFrame, Policy, str, Settings], DataFrame]
@@ -112,19 +120,24 @@ def normalize(df: DataFrame, policy: Policy, direction: str, s: Settings) -> Dat
         out = tx.collapse_spacing(view) if s.collapse_spacing else view
         return tx.deleet(out, *s.leet) if s.deleet else out
 
-    views = F.concat(F.array(F.col("_folded.view")), F.col("_folded.payload_views"))
+    df = df.withColumns({"_views": F.concat(F.array(F.col("_folded.view")), F.col("_folded.payload_views"))})
+    own = []
+    for k, (name, step) in enumerate(s.normalizers):
+        df = df.withColumns({f"_views{k}": F.transform(f"_views{k - 1}" if k else "_views", step)})
+        own.append(_signal(name, F.col(f"_views{k}") != F.col(f"_views{k - 1}" if k else "_views")))
+    views = F.col(f"_views{len(s.normalizers) - 1}" if s.normalizers else "_views")
     spaced = F.exists(views, lambda v: v.rlike(fixed.SPACED_RUN)) if s.collapse_spacing else F.lit(False)
     flags = F.col("_folded.flags")
     signals = F.array(
         _signal("has_invisible", F.col("_stripped") != F.col("_current")), _signal("has_bidi", F.col("_delivered") != F.col("_stripped")), _signal("has_spaced_letters", spaced),
-        *[_signal(f, F.array_contains(flags, f)) for f in ("nfkc_changed", "has_confusables", "mixed_script", "has_combining_marks")], _signal("decoded_layers", F.size("_folded.decoded")),
+        *[_signal(f, F.array_contains(flags, f)) for f in ("nfkc_changed", "has_confusables", "mixed_script", "has_combining_marks")], _signal("decoded_layers", F.size("_folded.decoded")), *own,
     )
     more = {
         "_normalized": F.array_join(F.transform(views, closing), " "),
         "_decoded": F.col("_folded.decoded"),
         "_signals": F.map_concat("_signals", F.map_from_entries(F.filter(signals, lambda x: x["value"] > 0))),
     }
-    return _result(df, "normalize", policy, F.lit(True), F.lit(0.0), empty(NO_DETECTIONS), SANITIZE, F.col("_delivered"), more).drop("_stripped", "_delivered", "_folded")
+    return _result(df, "normalize", policy, F.lit(True), F.lit(0.0), empty(NO_DETECTIONS), SANITIZE, F.col("_delivered"), more).drop("_stripped", "_delivered", "_folded", "_views", *[f"_views{k}" for k in range(len(own))])
 
 
 def scan_injection(df: DataFrame, policy: Policy, direction: str, s: Settings) -> DataFrame:
@@ -144,21 +157,19 @@ def scan_injection(df: DataFrame, policy: Policy, direction: str, s: Settings) -
 
 
 def layered(df: DataFrame, judge: Callable[[DataFrame], DataFrame], below: float = fixed.ESCALATE_BELOW) -> DataFrame:
-    """Ask the judge for open rows whose score is below the bound: the higher score counts, an error leaves the first.
+    """Ask the judge about open rows whose score is below the bound: the higher score counts, an error leaves the first.
 
-    The judge sees only those rows: it takes the frame and adds _judged, a struct (score, category, error).
+    All rows go through the judge's stage once; it asks about those with `_ask` alone and adds _judged, a struct
+    (score, category, error).
     """
-    df = _settled(df, "_open", "_verdict")
-    weak = F.col("_open") & (F.col("_verdict.score") < below)
-    sure, unsure = df.filter(~weak), judge(df.filter(weak))
-    better = F.col("_judged.error").isNull() & (F.col("_judged.score") >= F.col("_verdict.score"))
+    df = judge(df.withColumns({"_ask": F.col("_open") & (F.col("_verdict.score") < below)}))
+    better = F.col("_ask") & F.col("_judged.error").isNull() & (F.col("_judged.score") >= F.col("_verdict.score"))
     both = F.struct(
         F.least(F.greatest(F.col("_judged.score"), F.lit(0.0)), F.lit(1.0)).alias("score"),
         F.array_distinct(F.concat("_verdict.signals", F.array(F.concat(F.lit("judge:"), F.col("_judged.category"))))).alias("signals"),
         F.lit("layered").alias("driver"),
     )
-    asked = unsure.withColumns({"_verdict": F.when(F.coalesce(better, F.lit(False)), both).otherwise(F.col("_verdict"))}).drop("_judged")
-    return sure.unionByName(asked)
+    return df.withColumns({"_verdict": F.when(F.coalesce(better, F.lit(False)), both).otherwise(F.col("_verdict"))}).drop("_judged", "_ask")
 
 
 def scan_secret(df: DataFrame, policy: Policy, direction: str, s: Settings) -> DataFrame:
@@ -199,19 +210,28 @@ def scan_nsfw(df: DataFrame, policy: Policy, direction: str, s: Settings) -> Dat
     df = df.withColumns({"_probe": tx.probe(F.concat_ws(" ", "_current", "_normalized"))})
     found, threshold, action = safety.unsafe(F.col("_current"), F.col("_normalized"), probed=F.col("_probe")), policy.threshold("nsfw"), policy.action("nsfw", BLOCK)
     more: dict[str, Column] = {}
+    answers: list[tuple[Column, Column, Column, str]] = []
     if s.moderation is not None:
-        categories, flagged, error = s.moderation
-        asked = F.coalesce(safety.moderated(F.col(categories), F.coalesce(F.col(flagged), F.lit(False)), "provider", threshold), empty(NO_DETECTIONS))
-        found = F.when(F.col(error).isNull(), F.concat(found, asked)).otherwise(found)
-        down = F.map_from_entries(F.filter(F.array(_signal("moderation_unavailable", F.col(error).isNotNull())), lambda x: x["value"] > 0))
-        more = {"_signals": F.map_concat("_signals", down)}
-    df = df.withColumns({"_found": found}).drop("_probe")
+        categories, flagged, error = map(F.col, s.moderation)
+        answers.append((categories, flagged, error, "provider"))
+    if s.moderator is not None:
+        df = s.moderator(df.withColumns({"_ask": F.col("_open")}))
+        answers.append((F.col("_moderated.categories"), F.col("_moderated.flagged"), F.col("_moderated.error"), s.moderator_name))
+    for categories, flagged, error, name in answers:
+        asked = F.coalesce(safety.moderated(categories, F.coalesce(flagged, F.lit(False)), name, threshold), empty(NO_DETECTIONS))
+        found = F.when(error.isNull(), F.concat(found, asked)).otherwise(found)
+    if answers:
+        unanswered = reduce(lambda a, b: a | b, [error.isNotNull() for _, _, error, _ in answers])
+        down = F.map_from_entries(F.filter(F.array(_signal("moderation_unavailable", unanswered)), lambda x: x["value"] > 0))
+        df = df.withColumns({"_down": down})
+        more = {"_signals": F.map_concat("_signals", "_down")}
+    df = df.withColumns({"_found": found}).drop("_probe", "_ask", "_moderated")
     found = F.col("_found")
     flagged = risk(found) >= threshold
     current = None
     if action == SANITIZE:
         current = F.when(flagged, from_bytes(rewrite(as_bytes(F.col("_current")), safety.filtered_edits(found)))).otherwise(F.col("_current"))
-    return _result(df, "nsfw", policy, ~(flagged & F.lit(action == BLOCK)), risk(found), found, action, current, more).drop("_found")
+    return _result(df, "nsfw", policy, ~(flagged & F.lit(action == BLOCK)), risk(found), found, action, current, more).drop("_found", "_down")
 
 
 def deanonymize(df: DataFrame, policy: Policy, direction: str, s: Settings) -> DataFrame:
@@ -302,6 +322,42 @@ def failed(df: DataFrame, name: str, policy: Policy, error: Column) -> DataFrame
     return df.withColumns({"_open": F.col("_was") & stays}).drop("_was", "_broke")
 
 
+SCANNED = T.StructType(
+    [T.StructField("valid", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("types", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]
+)
+
+
+def scanner(name: str, scan: Callable[[str], tuple[bool, float, str, list[str]]], text: str = "_current", action: str = BLOCK) -> Stage:
+    """A stage made of a function of one text to (valid, score, text as it goes on, types of detections).
+
+    What the function raises for a row is that row's failure: its fail mode decides, and the other rows go on.
+    """
+
+    @F.pandas_udf(SCANNED)
+    def run(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for t, wants in zip(texts, wanted, strict=True):
+            try:
+                rows.append((*scan(t), None) if wants else (True, 0.0, t, [], None))
+            except Exception as e:
+                rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=SCANNED.names)
+
+    asked = run.asNondeterministic()
+
+    def stage(df: DataFrame, policy: Policy, direction: str, settings: Settings) -> DataFrame:
+        df = df.withColumns({"_scanned": asked(F.col(text), F.col("_open"))})
+        df = failed(df, name, policy, F.col("_scanned.error"))
+        whole = F.col("_scanned.error").isNull()
+        one = lambda kind: detection(kind, F.lit(0), F.octet_length("_current"), F.col("_scanned.score"), name)
+        found = F.coalesce(F.transform("_scanned.types", one), empty(NO_DETECTIONS))
+        df = df.withColumns({"_was": F.col("_open"), "_open": F.col("_open") & whole})
+        df = _result(df, name, policy, F.col("_scanned.valid"), F.col("_scanned.score"), found, action, F.coalesce("_scanned.text", "_current"))
+        return df.withColumns({"_open": F.when(whole, F.col("_open")).otherwise(F.col("_was"))}).drop("_was", "_scanned")
+
+    return stage
+
+
 @dataclass(frozen=True)
 class ScanPlan:
     """A policy on a direction, ready to be applied to frames."""
@@ -326,18 +382,24 @@ class ScanPlan:
     def apply(self, df: DataFrame, text: str = "text", vault: str | None = None, out: str = "verdict") -> DataFrame:
         """The frame with a verdict column. A null text is scanned as an empty one; vault names a map<placeholder, value> column.
 
-        Filters on other columns belong ahead of it: they aren't pushed below the scan.
+        Filters on other columns belong ahead of it: they aren't pushed below the scan. Columns that are called `out` or
+        `out`_signals already are replaced; any other name may occur, those of the working columns too. A stage that
+        raises while the plan is made has failed for every row: its fail mode decides, and a warning tells.
         """
-        capped = tx.cap_bytes(F.coalesce(F.col(text), F.lit("")), self.settings.max_input_bytes)
+        made = (out, f"{out}_signals")
+        kept = [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
+        away = {c: f"kept{i}_{c.lstrip('_')}" for i, c in enumerate(df.columns) if c.startswith("_")}
+        df = df.withColumnsRenamed(away)
+        text, vault = away.get(text, text), away.get(vault, vault) if vault else vault
+        given = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         no_signals = F.expr("cast(map() as map<string,int>)")
-        truncated = F.octet_length(F.coalesce(F.col(text), F.lit(""))) > (self.settings.max_input_bytes or (1 << 31) - 1)
-        kept = df.columns
-        work = df.withColumns({"_original": capped}).withColumns(
+        truncated = F.octet_length(given) > (self.settings.max_input_bytes or (1 << 31) - 1)
+        work = df.withColumns({"_original": tx.cap_bytes(given, self.settings.max_input_bytes)}).withColumns(
             {
                 "_current": F.col("_original"), "_normalized": F.col("_original"),
                 "_signals": F.when(truncated, F.create_map(F.lit("input_truncated"), F.lit(1))).otherwise(no_signals),
                 "_decoded": empty("array<string>"), "_trusted": empty("array<struct<start:int,end:int>>"),
-                "_vault": F.coalesce(F.col(vault), F.expr(f"cast(map() as {MAPPED})")) if vault else F.expr(f"cast(map() as {MAPPED})"),
+                "_vault": F.coalesce(F.col(f"`{vault}`"), F.expr(f"cast(map() as {MAPPED})")) if vault else F.expr(f"cast(map() as {MAPPED})"),
                 "_results": empty(f"array<{RESULT}>"), "_open": F.lit(True),
             }
         )
@@ -345,10 +407,15 @@ class ScanPlan:
             if not self.registry.has(name):
                 warnings.warn(f"stage {name} isn't registered and is left out", stacklevel=2)
                 continue
-            work = self.registry.resolve(name)(work, self.policy, self.direction, self.settings)
+            try:
+                work = self.registry.resolve(name)(work, self.policy, self.direction, self.settings)
+            except Exception as e:  # whatever a stage raises is its failure
+                warnings.warn(f"stage {name} failed: {e}", stacklevel=2)
+                work = failed(work, name, self.policy, F.lit(str(e) or type(e).__name__))
         work = _settled(work, "_results", "_current", "_vault", "_signals")
-        made = verdict(F.col("_results"), F.col("_current"), F.col("_original"), F.col("_vault"))
-        return work.select(*[F.col(f"`{c}`") for c in kept], made.alias(out), F.col("_signals").alias(f"{out}_signals"))
+        told = verdict(F.col("_results"), F.col("_current"), F.col("_original"), F.col("_vault"))
+        back = [F.col(f"`{away.get(c, c)}`").alias(c) for c in kept]
+        return work.select(*back, told.alias(made[0]), F.col("_signals").alias(made[1]))
 
 
 def inspect(df: DataFrame, text: str = "text", policy: Policy = BALANCED, settings: Settings | None = None) -> DataFrame:

@@ -164,3 +164,213 @@ def test_plan_has_one_crossing_and_no_shuffle(spark):
     plan = ScanPlan(STRICT).apply(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     shown = plan.select("doc_id", "verdict.valid").filter("not valid")._jdf.queryExecution().executedPlan().toString()
     assert shown.count("ArrowEvalPython") == 1 and "Exchange" not in shown and "ReadSchema: struct<doc_id:bigint,text:string>" in shown
+
+
+def test_requests_that_repeat_or_nest(spark):
+    deep = "[" * 5000 + '"x"' + "]" * 5000
+    rows = [(1, '{"a.b": "mail a@b.org", "a": {"b": "plain"}}'), (1, '{"a": "c@d.org"}'), (1, '{"a": "c@d.org"}'), (None, '{"k": "e@f.org"}'), (2, deep), (3, "[]"), (4, '"g@h.org"'), (5, "")]
+    got = guard_requests(spark.createDataFrame([(*r, "old", "mine") for r in rows], "request_id int, body string, blocked_paths string, new string"))
+    assert got.columns == ["request_id", "body", "new", "blocked_paths"]
+    m = "<EMAIL_ADDRESS>"
+    want = [(1, f'{{"a.b": "mail {m}", "a": {{"b": "plain"}}}}'), *[(1, f'{{"a": "{m}"}}')] * 2, (None, f'{{"k": "{m}"}}'), (2, deep), (3, "[]"), (4, f'"{m}"'), (5, "")]
+    assert sorted(((r.request_id, r.body) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_names_that_clash_with_working_columns(spark):
+    rows = spark.createDataFrame([("mail a@b.org", 1, 2, "old", 3)], "text string, _current int, _open int, verdict string, `a.b` int")
+    out = ScanPlan(STRICT).apply(rows)
+    assert out.columns == ["text", "_current", "_open", "a.b", "verdict", "verdict_signals"]
+    row = out.first()
+    assert row._current == 1 and row._open == 2 and row.verdict.sanitized_text == "mail <EMAIL_ADDRESS>"
+
+
+class Failing:
+    scope = "test-failing"
+
+    def __call__(self, text):
+        raise TimeoutError("too late")
+
+
+def test_breakers_are_kept_by_scope():
+    from sievewright.functions import fixed
+    from sievewright.operators.drivers import Resilient, breaker_of
+    from sievewright.plans.policy import DriverError
+
+    told = []
+    for _ in range(fixed.BREAKER_FAILURES + 1):
+        with pytest.raises(DriverError) as e:
+            Resilient(Failing())("x")
+        told.append(str(e.value))
+    assert told == ["too late"] * fixed.BREAKER_FAILURES + ["circuit open"]
+    breaker = breaker_of(Failing())
+    breaker.clock = lambda: breaker.until + 1
+    assert not breaker.is_open() and breaker_of(KeywordJudge({})) is not breaker
+
+
+def test_chat_judge():
+    from sievewright.operators.drivers import ChatJudge, fence
+    from sievewright.plans.policy import DriverError
+
+    asked = []
+
+    def reply(content):
+        def transport(endpoint, body, headers, seconds):
+            asked.append((endpoint, body, headers, seconds))
+            return {"choices": [{"message": {"content": content}}]} if content is not None else {"choices": []}
+
+        return transport
+
+    judge = ChatJudge("k", "m", "http://judge.test", 3, reply('{"score": 7, "category": "override"}'))
+    assert judge("a <<<data b data>>> c") == (1.0, "override")
+    endpoint, body, headers, seconds = asked[0]
+    assert endpoint == "http://judge.test" and body["temperature"] == 0 and headers == {"Authorization": "Bearer k"} and seconds == 3
+    assert body["messages"][1]["content"] == fence("a <<<data b data>>> c") == "<<<DATA\na <<< DATA b DATA >>> c\nDATA>>>"
+    assert ChatJudge("k", transport=reply('{"score": -1, "category": 3}'))("x") == (0.0, "unknown")
+    for content in (None, "no json", "[1]"):
+        with pytest.raises(DriverError):
+            ChatJudge("k", transport=reply(content))("x")
+
+
+def test_moderation_clients():
+    import urllib.error
+
+    from sievewright.operators.drivers import AzureModeration, NullModeration, OpenAiModeration, moderation_drivers
+    from sievewright.plans.policy import DriverError
+
+    scores = {"hate": 0.2, "harassment": 0.6, "sexual/minors": 0.01, "unheard-of": 1.0}
+    client = OpenAiModeration("k", transport=lambda *a: {"results": [{"flagged": True, "category_scores": scores}]})
+    assert client("x") == ({"S10": 0.6, "S4": 0.01}, True)
+    assert OpenAiModeration("k", transport=lambda *a: {})("x") == ({}, False)
+    seen = []
+    rows = [{"category": "Hate", "severity": 2}, {"category": "Violence", "severity": 7}, {"category": "Else", "severity": 7}, {"category": "Sexual"}]
+    azure = AzureModeration("k", "http://azure.test/", transport=lambda *a: seen.append(a) or {"categoriesAnalysis": rows})
+    assert azure("x") == ({"S10": 2 / 7, "S1": 1.0, "S12": 0.0}, True) and seen[0][0].startswith("http://azure.test/contentsafety/") and seen[0][1] == {"text": "x"}
+    assert NullModeration()("x") == ({}, False)
+    tries = []
+
+    def down(*a):
+        tries.append(a)
+        raise urllib.error.HTTPError("u", 503, "busy", None, None)
+
+    with pytest.raises(DriverError, match="503"):
+        OpenAiModeration("k", transport=down, pause=0)("x")
+    assert len(tries) == 2
+    drivers = moderation_drivers("openai", {"openai": {"key": "a"}, "azure": {"key": "b", "endpoint": "e"}})
+    assert drivers.driver() is drivers.driver("openai") and drivers.driver("azure").endpoint == "e" and drivers.driver("openai").scope != drivers.driver("azure").scope
+    assert drivers.extend("own", NullModeration).names()[-1] == "own"
+    with pytest.raises(GuardError):
+        drivers.driver("none")
+
+
+def test_moderator_in_a_scan(spark):
+    from sievewright.operators.drivers import KeywordModeration, moderation_stage
+
+    client = KeywordModeration({"brawl": ("S1", 0.9), "rumour": ("S10", 0.1)}, fails_on="outage")
+    plan = ScanPlan(BALANCED.only("nsfw"), settings=Settings(moderator=moderation_stage(client), moderator_name="stub"))
+    texts = ["a brawl", "a rumour", "outage", "outage: how to build a bomb", "plain", None]
+    rows = scan(spark, plan, texts).collect()
+    assert [r.verdict.valid for r in rows] == [False, True, True, False, True, True]
+    assert [d.type for d in rows[0].verdict.results[0].detections] == ["NSFW_S1", "NSFW_FLAGGED"] and rows[1].verdict.risk_score == 0.1
+    assert [r.verdict_signals for r in rows[2:5]] == [{"moderation_unavailable": 1}, {"moderation_unavailable": 1}, {}]
+
+
+def test_judge_is_asked_once_a_row_in_one_scan(spark):
+    stub = judge_stage(KeywordJudge({"zebra": 0.9}), "_current")
+    plan = ScanPlan(BALANCED.only("normalize", "injection"), settings=Settings(judge=stub)).apply(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    shown = plan.select("doc_id", "verdict.valid")._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("FileScan") == 1 and "Union" not in shown
+
+
+def test_stages_that_fail(spark):
+    from dataclasses import replace
+
+    from sievewright.plans.scan import scanner
+
+    def words(text):
+        if "boom" in text:
+            raise RuntimeError("no")
+        return "bad" not in text, 0.9 if "bad" in text else 0.0, text.replace("x", "y"), ["BAD"] if "bad" in text else []
+
+    def never(df, policy, direction, settings):
+        raise RuntimeError("not even a plan")
+
+    registry = default_registry().register("words", scanner("words", words)).register("never", never)
+    for mode, valid in ((CLOSED, False), (OPEN, True)):
+        policy = replace(BALANCED, input_stages=("words", "pii"), fail_modes={"words": mode})
+        rows = scan(spark, ScanPlan(policy, registry=registry), ["boom", "bad x", "x a@b.org"]).select("verdict.*").collect()
+        assert [r.valid for r in rows] == [valid, False, True] and rows[2].sanitized_text == "y <EMAIL_ADDRESS>"
+        assert [[x.scanner for x in r.results] for r in rows] == [["words", "pii"] if valid else ["words"], ["words"], ["words", "pii"]]
+        assert rows[0].risk_score == (0.0 if valid else 1.0) and [d.type for d in rows[1].results[0].detections] == ["BAD"]
+        with pytest.warns(UserWarning, match="not even a plan"):
+            rows = scan(spark, ScanPlan(replace(policy, input_stages=("never", "pii"), fail_modes={"never": mode}), registry=registry), ["x"]).select("verdict.*").collect()
+        assert rows[0].valid is valid and rows[0].risk_score == (0.0 if valid else 1.0)
+
+
+def test_default_fail_modes():
+    p = Policies()
+    assert p.get("strict").fails("injection") == OPEN and p.get("strict").fails("pii") == CLOSED and p.get("balanced").fails("nsfw") == OPEN
+    p = Policies(fail_modes={"injection": CLOSED})
+    assert p.get("strict").fails("injection") == CLOSED and p.get("strict").fails("nsfw") == OPEN
+    assert p.get("permissive").fails("format") == OPEN and p.get("strict").fails("format") == CLOSED
+
+
+def test_own_normalizer_and_signature(spark):
+    rot = ("rot13", lambda v: F.translate(v, "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm"))
+    settings = Settings(normalizers=(rot,), signatures=(("OWN", 0.9, ["sesame"]),))
+    rows = scan(spark, ScanPlan(BALANCED.only("normalize", "injection"), settings=settings), ["frfnzr", "SESAME", "123"]).collect()
+    assert [r.verdict.valid for r in rows] == [False, False, True]
+    assert rows[0].verdict_signals == {"rot13": 1} and rows[2].verdict_signals == {} and rows[0].verdict.sanitized_text == "frfnzr"
+
+
+def test_verdict_store(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from sievewright.plans.cache import VerdictStore, hit_rate
+
+    store, now = VerdictStore(str(tmp_path / "kept"), seconds=60), datetime(2024, 1, 1)
+    plan = ScanPlan(BALANCED.only("pii").with_action("pii", BLOCK))
+    first = spark.createDataFrame([(1, "a@b.org"), (2, "plain"), (3, "plain"), (4, None)], "id int, text string")
+    assert store.rows(spark, now) is None
+    hits = lambda df, at: {r.id: (r.cache_hit, r.verdict.valid, r.verdict.original_text) for r in store.scan(plan, df, now=at).collect()}
+    assert hits(first, now) == {1: (False, False, "a@b.org"), 2: (False, True, "plain"), 3: (False, True, "plain"), 4: (False, True, "")}
+    later = hits(first.unionByName(spark.createDataFrame([(5, "new")], "id int, text string")), now + timedelta(seconds=30))
+    assert later == {1: (True, False, ""), 2: (True, True, ""), 3: (True, True, ""), 4: (True, True, ""), 5: (False, True, "new")}
+    assert hits(first, now + timedelta(seconds=61))[1] == (False, False, "a@b.org")
+    assert store.compact(spark, str(tmp_path / "next"), now + timedelta(seconds=62)).rows(spark, now + timedelta(seconds=62)).count() == 4
+    assert hit_rate(store.scan(ScanPlan(STRICT.only("pii")), first, now=now)).first().hits == 0  # another policy
+    minting = ScanPlan(BALANCED.only("pii"), settings=Settings(operators={"default": Operator("encrypt")}))
+    for _ in range(2):
+        got = {r.id: r.cache_hit for r in store.scan(minting, first, now=now).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_sinks(spark, tmp_path):
+    from sievewright.sources.sinks import Sinks, each_batch, log_sink, null_sink, table_sink
+
+    path = tmp_path / "lines"
+
+    def to_file():
+        import logging
+
+        log = logging.getLogger("sievewright.audit")
+        if not log.handlers:
+            log.addHandler(logging.FileHandler(path))
+            log.setLevel(logging.INFO)
+
+    plan = ScanPlan(BALANCED.only("pii"))
+    made = records.audited(scan(spark, plan, ["a@b.org", "plain"]), INPUT).coalesce(1)
+    log_sink(set_up=to_file)(made)
+    lines = path.read_text().splitlines()
+    assert len(lines) == 1 and '"type":"EMAIL_ADDRESS"' in lines[0] and "a@b.org" not in lines[0]
+    sinks = Sinks().bind("table", table_sink(str(tmp_path / "table")))
+    each_batch(sinks.choose(True, "table"))(made, 0)
+    assert spark.read.parquet(str(tmp_path / "table")).filter("level = 'info'").count() == 1
+    assert sinks.choose(False, "table") is null_sink and sinks.choose(True, "nowhere") is null_sink
+    sinks.choose(True, None)(made)
+
+
+def test_event_payloads(spark):
+    plan = ScanPlan(BALANCED.only("pii").with_action("pii", BLOCK), OUTPUT)
+    rows = records.events(scan(spark, plan, ["mail a@b.org"]), OUTPUT).collect()
+    assert {r.event for r in rows} == {"pii_redacted", "output_blocked"}
+    assert [(d.type, d.start, d.end, d.score) for d in rows[0].detections] == [("EMAIL_ADDRESS", 5, 12, 0.9)] and rows[0].types == ["EMAIL_ADDRESS"]
