@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
-from .license_scan import TEMPLATES, license_scan
+from .license_scan import TEMPLATES, license_scan, most_words
 from .line_dedup import dedup_lines
 from .quality import quality_scores
 from .segment import encoded
@@ -105,17 +105,23 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_oracle(threshold: float = 0.8) -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    most = most_words(TEMPLATES, threshold)
     grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return f"""
     WITH t AS (SELECT name, string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {rows}) v(name, s)),
     tg AS (SELECT name, {grams.format(w="w")} AS b FROM t),
     d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS n FROM documents),
-    u AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(n, chr(10)) || string_split_regex(n, '\\n *\\n') || [n], lambda s: trim(regexp_replace(s, '[ \\n]+', ' ', 'g'))))) AS s FROM d),
+    p AS (SELECT doc_id, n, list_filter(list_transform(string_split_regex(n, '\\n *\\n'), lambda s: trim(regexp_replace(s, '[ \\n]+', ' ', 'g'))), lambda s: s <> '') AS p FROM d),
+    c AS (SELECT doc_id, n, p, list_transform(range(len(p) + 1), lambda i: coalesce(list_sum(list_transform(list_slice(p, 1, i), lambda s: len(string_split(s, ' ')))), 0)) AS c FROM p),
+    f AS (SELECT doc_id, p, c, unnest(range(1, len(p) + 1)) AS i FROM c),
+    r AS (SELECT doc_id, p, i, unnest(list_filter(range(i + 1, len(p) + 1), lambda j: c[j + 1] - c[i] <= {most})) AS j FROM f),
+    u AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(string_split(n, chr(10)) || [n], lambda s: trim(regexp_replace(s, '[ \\n]+', ' ', 'g')))) AS s FROM d
+      UNION ALL SELECT doc_id, unnest(p) FROM p UNION ALL SELECT doc_id, array_to_string(list_slice(p, i, j), ' ') FROM r)),
     uw AS (SELECT doc_id, s, string_split(s, ' ') AS w FROM u),
     ug AS (SELECT doc_id, s, {grams.format(w="w")} AS b FROM uw WHERE len(w) > 1),
     m AS (SELECT doc_id, s, max(struct_pack(dice := 2.0::DOUBLE * len(list_intersect(ug.b, tg.b)) / (len(ug.b) + len(tg.b)), name := name)) AS x FROM ug, tg
       WHERE 2.0::DOUBLE * len(list_intersect(ug.b, tg.b)) / (len(ug.b) + len(tg.b)) >= {threshold} GROUP BY 1, 2),
-    best AS (SELECT doc_id, count(*) AS n_found, max(x) AS x FROM m GROUP BY 1)
+    best AS (SELECT doc_id, count(DISTINCT x.name) AS n_found, max(x) AS x FROM m GROUP BY 1)
     SELECT d.doc_id, coalesce(n_found, 0) AS n_found, x.name AS license, round(x.dice, 6) AS dice FROM d LEFT JOIN best USING (doc_id)
     """
 

@@ -167,14 +167,29 @@ def slow_license(text, threshold=0.8):
         return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
     norm = re.sub(r"[^\w\n]+|_", " ", (text or "").lower())
-    units = {re.sub(r"[ \n]+", " ", u).strip(" ") for u in [*norm.split("\n"), *re.split("\n *\n", norm), norm]}
+    clean = lambda u: re.sub(r"[ \n]+", " ", u).strip(" ")
+    paragraphs = [p for p in map(clean, re.split("\n *\n", norm)) if p]
+    runs = [" ".join(paragraphs[i:j]) for i in range(len(paragraphs)) for j in range(i + 2, len(paragraphs) + 1)]
+    most = max(int(round(1.5 * len(grams(clean(re.sub(r"[^\w]+|_", " ", t.lower())))), 9)) + 1 for t in TEMPLATES.values())
+    units = {*map(clean, [*norm.split("\n"), norm]), *paragraphs, *(r for r in runs if len(r.split(" ")) <= most)}
     best = []
     for u in units:
         g = grams(u)
         scored = [(2 * len(g & grams(re.sub(r"[^\w]+|_", " ", t.lower()).strip())) / (len(g) + len(grams(re.sub(r"[^\w]+|_", " ", t.lower()).strip()))), n) for n, t in TEMPLATES.items()] if g else []
         if scored and max(scored)[0] >= threshold:
             best.append(max(scored))
-    return (len(best), *((max(best)[1], round(max(best)[0], 6)) if best else (None, None)))
+    return (len({n for _, n in best}), *((max(best)[1], round(max(best)[0], 6)) if best else (None, None)))
+
+
+def test_a_license_in_paragraphs_in_a_longer_file(spark):
+    mit, words = TEMPLATES["MIT"], "reading the manual of this tool takes a while so better begin today " * 40
+    cut = [mit[: mit.index("The above")], mit[mit.index("The above") : mit.index("THE SOFTWARE IS")], mit[mit.index("THE SOFTWARE IS") :]]
+    wrapped = [c.replace(", ", ",\n * ") for c in cut]
+    rows = [(1, words + "\n\nMIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(cut) + "\n\n" + words), (2, "/*\n * " + "\n *\n * ".join(wrapped) + "\n */\n\n" + words), (3, words + "\n\n" + cut[1] + "\n\n" + words)]
+    rows += [(4, "\n\n".join(["software and the license"] * 700)), (5, "\n\n".join([*cut, *cut]) + "\n\nReleased under the MIT License.")]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert table(got) == table((i, *slow_license(t)) for i, t in rows)
+    assert [r.license for r in sorted(got)][:3] == ["MIT", "MIT", None]
 
 
 def test_license_scan(spark, odd_docs, no_docs):
