@@ -14,9 +14,8 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
@@ -295,29 +294,35 @@ def moderation_drivers(default: str = "null", settings: dict[str, dict] | None =
 # --- asking ------------------------------------------------------------------------------------------------------------
 
 
-def _asked(client: Callable[[str], tuple], schema: T.StructType, texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-    """A client's answers, two fields and an error; rows that aren't to be asked have none of them."""
-    ask, rows = Resilient(client), []
-    for text, wants in zip(texts, wanted, strict=True):
-        row: tuple = (None, None, None)
-        if wants:
-            try:
-                row = (*ask(text or ""), None)
-            except DriverError as e:
-                row = (None, None, str(e))
-        rows.append(row)
-    return pd.DataFrame(rows, columns=schema.names)
-
-
 def _stage(client: Callable[[str], tuple], schema: T.StructType, text: str, out: str) -> Callable[[DataFrame], DataFrame]:
-    """Adds a column of answers where `_ask` is true: text and flag alone cross to Python, once."""
+    """Adds a column of answers, two fields and an error; rows without `_ask` have none of them.
 
-    @F.pandas_udf(schema)
-    def answers(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        return _asked(client, schema, texts, wanted)
-
-    ask = answers.asNondeterministic()  # else the optimizer may ask a provider twice
-    return lambda df: df.withColumns({out: ask(F.col(text), F.col("_ask"))})
+    A mapping of whole batches: as a function in an expression it would have its arguments, deep as they are, written
+    out and evaluated once more.
+    """
+    kinds = [pa.map_(pa.string(), pa.float64()) if isinstance(f.dataType, T.MapType) else pa.bool_() if f.dataType == T.BooleanType() else pa.float64() if f.dataType == T.DoubleType() else pa.string() for f in schema]
+
+    def stage(df: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask = Resilient(client)
+            for b in batches:
+                rows: list[tuple] = []
+                for given, wants in zip(b.column(text).to_pylist(), b.column("_ask").to_pylist(), strict=True):
+                    row: tuple = (None, None, None)
+                    if wants:
+                        try:
+                            first, second = ask(given or "")
+                            row = (list(first.items()) if isinstance(first, dict) else first, second, None)
+                        except DriverError as e:
+                            row = (None, None, str(e))
+                    rows.append(row)
+                fields = list(zip(*rows, strict=True)) or [()] * 3
+                answers = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds, strict=True)], schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns, answers], [*b.schema.names, out])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, schema)]))
+
+    return stage
 
 
 def judge_stage(client: Callable[[str], tuple[float, str]], text: str = "_normalized") -> Callable[[DataFrame], DataFrame]:

@@ -358,6 +358,35 @@ def scanner(name: str, scan: Callable[[str], tuple[bool, float, str, list[str]]]
     return stage
 
 
+def begun(df: DataFrame, text: str, settings: Settings, vault: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its working columns, and under which names its own columns with an underscore ahead are kept meanwhile."""
+    away = {c: f"kept{i}_{c.lstrip('_')}" for i, c in enumerate(df.columns) if c.startswith("_")}
+    df = df.withColumnsRenamed(away)
+    text, vault = away.get(text, text), away.get(vault, vault) if vault else vault
+    given = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    no_signals = F.expr("cast(map() as map<string,int>)")
+    truncated = F.octet_length(given) > (settings.max_input_bytes or (1 << 31) - 1)
+    work = df.withColumns({"_original": tx.cap_bytes(given, settings.max_input_bytes)}).withColumns(
+        {
+            "_current": F.col("_original"), "_normalized": F.col("_original"),
+            "_signals": F.when(truncated, F.create_map(F.lit("input_truncated"), F.lit(1))).otherwise(no_signals),
+            "_decoded": empty("array<string>"), "_trusted": empty("array<struct<start:int,end:int>>"),
+            "_vault": F.coalesce(F.col(f"`{vault}`"), F.expr(f"cast(map() as {MAPPED})")) if vault else F.expr(f"cast(map() as {MAPPED})"),
+            "_results": empty(f"array<{RESULT}>"), "_open": F.lit(True),
+        }
+    )
+    return work, away
+
+
+def views(df: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The frame with what the normalising stage makes of a text: delivered, detection (the view that detectors see) and signals."""
+    settings = settings or Settings()
+    work, away = begun(df, text, settings)
+    work = normalize(work, BALANCED, INPUT, settings)
+    back = [F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns if c.lower() not in ("delivered", "detection", "signals")]
+    return work.select(*back, F.col("_current").alias("delivered"), F.col("_normalized").alias("detection"), F.col("_signals").alias("signals"))
+
+
 @dataclass(frozen=True)
 class ScanPlan:
     """A policy on a direction, ready to be applied to frames."""
@@ -388,21 +417,7 @@ class ScanPlan:
         """
         made = (out, f"{out}_signals")
         kept = [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
-        away = {c: f"kept{i}_{c.lstrip('_')}" for i, c in enumerate(df.columns) if c.startswith("_")}
-        df = df.withColumnsRenamed(away)
-        text, vault = away.get(text, text), away.get(vault, vault) if vault else vault
-        given = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-        no_signals = F.expr("cast(map() as map<string,int>)")
-        truncated = F.octet_length(given) > (self.settings.max_input_bytes or (1 << 31) - 1)
-        work = df.withColumns({"_original": tx.cap_bytes(given, self.settings.max_input_bytes)}).withColumns(
-            {
-                "_current": F.col("_original"), "_normalized": F.col("_original"),
-                "_signals": F.when(truncated, F.create_map(F.lit("input_truncated"), F.lit(1))).otherwise(no_signals),
-                "_decoded": empty("array<string>"), "_trusted": empty("array<struct<start:int,end:int>>"),
-                "_vault": F.coalesce(F.col(f"`{vault}`"), F.expr(f"cast(map() as {MAPPED})")) if vault else F.expr(f"cast(map() as {MAPPED})"),
-                "_results": empty(f"array<{RESULT}>"), "_open": F.lit(True),
-            }
-        )
+        work, away = begun(df, text, self.settings, vault)
         for name in self.policy.stages(self.direction):
             if not self.registry.has(name):
                 warnings.warn(f"stage {name} isn't registered and is left out", stacklevel=2)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "sievewright", cores: int | None = None, **conf: str) -> SparkSession:
-    """A local session with AQE, UTC and as many shuffle partitions as cores."""
+    """A local session with AQE, UTC and as many shuffle partitions as cores.
+
+    PySpark's call sites in error messages are off: noting them takes as long as building a scan's columns does.
+    """
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -17,6 +22,7 @@ def build_session(app: str = "sievewright", cores: int | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -25,3 +31,14 @@ def build_session(app: str = "sievewright", cores: int | None = None, **conf: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; where that is unset, a local one, and only if Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sievewright-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
