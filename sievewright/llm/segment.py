@@ -6,14 +6,16 @@ never hold a white-space mark behind another character, so the lattice falls apa
 forward pass runs over many different chunks at once, in arrays, and also tells what a chunk's second choice costs;
 the best segmentations of a text lie in the few chunks whose second choice costs least, and only those are searched.
 
-Scores are the model's, in thousandths as integers: sums are exact. A BPE model's scores are its merge ranks; they
-serve as piece scores here, and byte fallback costs more than any piece.
+Scores are logarithms of probabilities in thousandths, as integers: sums are exact. A unigram model has them. A BPE model
+has only the ranks of its merges, so a piece's probability is taken from its rank r by the Zipf-Mandelbrot law, as
+1 / (r + MANDELBROT), normalised. Byte fallback costs more than any piece.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +31,8 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks that a worker remembers, documents it looks at together, chunks solved together and the longest of those: bounds of memory.
 _REMEMBERED, _GROUP, _AT_ONCE, _SHORT = 400_000, 256, 1 << 12, 64
 NEVER = 1 << 62
+#: The offset of the law: about how many pieces are as frequent as the most frequent one.
+MANDELBROT = 100
 
 
 class Pieces:
@@ -42,7 +46,12 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces cross chunks")
         self.table: dict[str, int | bool] = {p[:k]: False for p in self.ids for k in range(1, len(p))}
-        self.table |= {p: round(1000 * sp.get_score(i)) for p, i in self.ids.items()}
+        given = {p: sp.get_score(i) for p, i in self.ids.items()}
+        if all(x <= 0 and x == int(x) for x in given.values()):  # ranks
+            place = {p: k for k, p in enumerate(sorted(given, key=lambda p: (-given[p], self.ids[p])))}
+            whole = math.log(sum(1 / (k + MANDELBROT) for k in place.values()))
+            given = {p: -math.log(k + MANDELBROT) - whole for p, k in place.items()}
+        self.table |= {p: round(1000 * x) for p, x in given.items()}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = min(self.table[p] for p in self.ids) - 10_000
         self.longest = max(map(len, self.ids))
@@ -323,27 +332,32 @@ def nbest_scores(chunks: list[str], numbers: np.ndarray, n: int, memory: Memory)
     return [score for score, _ in nbest_paths(chunks, numbers, n, memory)]
 
 
-def nbest_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[list[np.ndarray], list[int]]]:
-    """For each text the ids and the scores of the n best segmentations, best first."""
+def nbest_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[list[np.ndarray], list[int], bool]]:
+    """For each text the ids and the scores of the n best segmentations, best first, and whether the others spell what the best does.
+
+    They differ from it in a few chunks, so these alone are compared.
+    """
+    spell = lambda ids: b"".join(map(memory.pieces.spelled.__getitem__, ids))
     chunks = list(map(chunks_of, texts))
     numbers = memory.learn([c for own in chunks for c in own])
     stops = np.cumsum([len(own) for own in chunks]).tolist()
     for own, stop in zip(chunks, stops, strict=True):
         mine = numbers[stop - len(own) : stop]
-        best, ends, every, scores = memory.ids_of(mine), np.cumsum(memory.size[mine]), [], []
+        best, ends, every, scores, alike = memory.ids_of(mine), np.cumsum(memory.size[mine]), [], [], True
         for score, changed in nbest_paths(own, mine, n, memory):
             parts, done = [], 0
             for i in sorted(changed):
+                alike = alike and spell(changed[i]) == spell(memory.ids_of(mine[i : i + 1]).tolist())
                 parts += [best[done : int(ends[i] - memory.size[mine[i]])], np.array(changed[i], np.int32)]
                 done = int(ends[i])
             every.append(np.concatenate((*parts, best[done:])) if parts else best)
             scores.append(score)
-        yield every, scores
+        yield every, scores, alike
 
 
 def encode_group(texts: list[str | None], n: int, memory: Memory) -> Iterator[tuple[np.ndarray, list[int]]]:
     """For each text the ids of the best segmentation and the scores of the n best."""
-    for every, scores in nbest_group(texts, n, memory):
+    for every, scores, _ in nbest_group(texts, n, memory):
         yield every[0], scores
 
 
@@ -370,9 +384,9 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False
             texts = b["text"].to_pylist()
             for i in range(0, len(texts), _GROUP):
                 part = texts[i : i + _GROUP]
-                every, scores = zip(*nbest_group(part, n, memory), strict=True)
+                every, scores, alike = zip(*nbest_group(part, n, memory), strict=True)
                 ids = [x[0] for x in every]
-                same = [all(decode(y, pieces) == (t or "").replace(MARK, " ") for y in x) for x, t in zip(every, part, strict=True)]
+                same = [a and decode(x, pieces) == (t or "").replace(MARK, " ") for x, a, t in zip(ids, alike, part, strict=True)]
                 digests = [[hashlib.sha256(y.tobytes()).hexdigest() for y in x] for x in every]
                 columns = [
                     b["doc_id"].slice(i, _GROUP), pa.array([len(x) for x in ids], pa.int64()), pa.array([x[0] for x in digests]),
