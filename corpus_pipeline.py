@@ -43,8 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (5-word shingles, similarity 0.8): that with the smallest doc_id."""
-    near = near_components(docs, similarity=0.8, words=5)
-    return where_id(docs, near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = near_components(docs, similarity=0.8, words=5).groupBy("doc_id").agg(F.max(stays).alias("stays")).filter("not stays")
+    return where_id(docs, gone.select("doc_id"), "left_anti")  # they are few: the texts needn't be shuffled
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from sievewright.llm.near_dup import near_components, shingle_set
+import numpy as np
+
+from sievewright.llm.near_dup import _Parities, extra, least_shared, near_components, parity_bits, prefix, shingle_set
 from sievewright.llm.simhash import fingerprint
 
 
@@ -70,3 +72,34 @@ def test_stage_drops_near_copies_beyond_the_radius(spark):
     near = next(t for _ in range(200) if 0.8 <= jaccard(base, t := edited(base, draw, 8)) < 1 and (fingerprint(base, 4) ^ fingerprint(t, 4)).bit_count() > 4)
     docs = spark.createDataFrame([(1, base), (2, near), (3, prose(78, 400))], "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_parity_bits_bound_the_difference():
+    draw = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (5, 9, 4), (40, 40, 39), (300, 70, 60), (1000, 1000, 900), (3000, 10, 0)]:
+        own = np.unique(draw.integers(0, 1 << 63, n + m - both).astype(np.uint64))
+        x, y = own[:n], own[n - both :]
+        apart = len(np.setxor1d(x, y))
+        bits = int(_Parities([parity_bits(x).tobytes(), parity_bits(y).tobytes()]).differing(0, np.array([1]))[0])
+        assert bits <= apart and (apart - bits) % 2 == 0 and (bits >= 0.2 * apart or min(n, m) < 0.8 * max(n, m) or n > 512)
+
+
+def test_a_great_group_of_near_copies(spark):
+    draw = random.Random(8)
+    base = prose(55, 120)
+    rows = [(i, edited(base, draw, 4)) for i in range(300)] + [(400 + i, prose(600 + i, 120)) for i in range(20)]
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == slow(rows)
+
+
+def test_prefixes_share_what_they_must():
+    draw = np.random.default_rng(6)
+    common, often = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for _ in range(400):
+        n = int(draw.integers(1, 120))
+        own = np.unique(draw.integers(0, 1 << 60, 2 * n).astype(np.uint64))
+        x = own[: len(own) // 2]
+        y = np.unique(np.concatenate((draw.permutation(x)[: max(1, int(len(x) * draw.uniform(0.8, 1)))], own[len(own) // 2 :][: int(draw.integers(0, 1 + len(x) // 5))])))
+        if len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8:
+            shared = len(np.intersect1d(prefix(x, common, often, 0.8), prefix(y, common, often, 0.8)))
+            assert shared >= extra(min(len(x), len(y))) and shared >= max(least_shared(len(x), 0.8), least_shared(len(y), 0.8))

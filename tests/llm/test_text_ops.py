@@ -122,6 +122,16 @@ def test_decontamination(spark, odd_docs, index_bytes):
     assert table(decontaminate(odd_docs, bench, index_bytes=index_bytes).collect()) == table(want)
 
 
+def test_items_joined_by_a_shuffle_give_the_same_rows(spark):
+    d = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    wide = bench.select("item_id", "text").unionByName(docs.selectExpr("doc_id + 100000 AS item_id", "concat_ws(' ', slice(split(text, ' '), 5, 30)) AS text"))
+    joined = decontaminate(docs, wide, index_bytes=0)
+    assert table(joined.collect()) == table(decontaminate(docs, wide).collect())
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_decontamination_without_rows(odd_docs, no_docs, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(no_docs, bench).count() == 0
