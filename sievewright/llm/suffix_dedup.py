@@ -8,6 +8,10 @@ their bytes; and only one of each of the different contexts under a hash goes to
 a shard holds is dealt out by more of the bytes around the anchor, by whole windows at last. In a shard, suffixes are sorted
 by external induced sorting with common-prefix values, and a window whose common prefix with a neighbour reaches the
 width is repeated.
+
+No group lands in one task: a context that a task meets again is settled there and then, so that only its first
+occurrence in each task meets those of other tasks; and the contexts of a very common hash are dealt to many tasks by
+their digests, since whether a hash has several contexts needs a count alone.
 """
 
 from __future__ import annotations
@@ -64,66 +68,124 @@ def anchored(raw: bytes, width: int) -> Iterator[tuple[int, int, int, int]]:
         yield from zip(h[places].view(np.int64).tolist(), (places + begin).tolist(), (starts + begin).tolist(), (ends + begin).tolist(), strict=True)
 
 
-def _anchors(docs: DataFrame, kind: str, width: int) -> DataFrame:
+class _Contexts:
+    """Contexts as a task meets them: the first of each waits, those that come again are settled (known 1) and go at once.
+
+    What waited goes with known 2 if it came again, else 0. route: where a row goes to be compared by its digest, which
+    is its key's place, or its digest's for a very common key, or anywhere for what is settled.
+    """
+
+    def __init__(self, kind: pa.DataType, hot: frozenset[int]) -> None:
+        self.kind, self.hot = kind, hot
+        self.waiting: dict[tuple[int, bytes], list] = {}
+        self.out: list[tuple] = []
+
+    def add(self, key: int, digest: bytes, doc: object, check: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        found = self.waiting.get((key, digest))
+        if found is None:
+            self.waiting[key, digest] = [doc, check, first, last, 0]
+        else:
+            found[4] = 2
+            self.out.append((key, digest, doc, check, first, last, 1, (check ^ first * 0x9E3779B1) & _LOW))
+        if len(self.waiting) >= _WAITING or len(self.out) >= _ROWS:
+            yield from self.rows(len(self.waiting) >= _WAITING)
+
+    def rows(self, everything: bool = True) -> Iterator[pa.RecordBatch]:
+        if everything:
+            for (key, digest), row in self.waiting.items():
+                self.out.append((key, digest, *row, int.from_bytes(digest[:7], "little") if key in self.hot else key))
+            self.waiting = {}
+        types = [pa.int64(), pa.binary(), self.kind, pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int64()]
+        for i in range(0, len(self.out), _ROWS):
+            columns = zip(*self.out[i : i + _ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _CONTEXT)
+        self.out = []
+
+
+_CONTEXT = ["key", "digest", "doc_id", "sum", "first", "last", "known", "route"]
+#: Contexts that wait in a task, and rows that go together: bounds of memory.
+_WAITING, _ROWS, _LOW = 1 << 17, 1 << 15, (1 << 62) - 1
+
+
+def _context_schema(kind: str) -> str:
+    return f"key long, digest binary, doc_id {kind}, sum long, first int, last int, known byte, route long"
+
+
+def _anchors(docs: DataFrame, kind: str, width: int, hot: frozenset[int] = frozenset()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = None
         for b in batches:
-            out: list[tuple] = []
-            took: list[int] = []
-            for i, text in enumerate(b["text"].to_pylist()):
+            met = met or _Contexts(b.schema.field("doc_id").type, hot)
+            for doc, check, text in zip(*(b[c].to_pylist() for c in ("doc_id", "sum", "text")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for key, place, first, last in anchored(raw, width):
                     digest = hashlib.blake2b(raw[first : last + width], digest_size=12, salt=(place - first).to_bytes(8, "little")).digest()
-                    out.append((key, digest, first, last))
-                    took.append(i)
-                    if len(out) >= 1 << 16:
-                        yield _anchor_rows(b, took, out)
-                        out, took = [], []
-            if out:
-                yield _anchor_rows(b, took, out)
+                    yield from met.add(key, digest, doc, check, first, last)
+        if met:
+            yield from met.rows()
 
-    return docs.mapInArrow(run, f"key long, digest binary, doc_id {kind}, sum long, first int, last int")
+    return docs.select("doc_id", "sum", "text").mapInArrow(run, _context_schema(kind))
 
 
-def _anchor_rows(b: pa.RecordBatch, took: list[int], out: list[tuple]) -> pa.RecordBatch:
-    key, digest, first, last = zip(*out, strict=True)
-    take = pa.array(took)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(digest, pa.binary()), b["doc_id"].take(take), b["sum"].take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-        ["key", "digest", "doc_id", "sum", "first", "last"],
-    )
+#: Of so many texts one is looked at for very common keys, and so many of these are dealt out by their digests. It spreads work alone: any keys give the same result.
+_LOOK, _HOT_KEYS = 64, 4096
+
+
+def _very_common(docs: DataFrame, width: int) -> frozenset[int]:
+    """Keys that very many texts have, as far as one of _LOOK texts tells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b["text"].to_pylist():
+                keys = sorted({key for key, *_ in anchored((text or "").encode("utf-8", "surrogatepass"), width)})
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(keys), pa.int64())], ["key", "n"])
+
+    looked = docs.filter(F.pmod("sum", F.lit(_LOOK)) == 0).select("text").mapInArrow(run, "key long, n long")
+    often = looked.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "key").limit(_HOT_KEYS)
+    return frozenset(r.key for r in often.collect())
 
 
 _SETTLED = ["doc_id", "sum", "first", "last", "key", "settled"]
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(hot: frozenset[int] | None):
     """From rows sorted by key and digest: occurrences of contexts that occur twice, and one of each of several contexts under a key.
 
     settled 1: all windows from first to last are repeated; settled 0: these are to be compared; settled 2: both of it.
-    A key's rows are never held: at most two of them wait.
+    A key's rows are never held: at most two of them wait. Of the keys in hot (None: of all) a task sees some contexts
+    alone, so that each counts as one of several.
     """
-    key = digest = held = None  # the last row is held until it is known whether its context, and its key, goes on
-    twice = several = False
-    for b in batches:
-        out: list[tuple] = []
-        for row in zip(*(b[c].to_pylist() for c in ("key", "digest", "doc_id", "sum", "first", "last")), strict=True):
-            if (row[0], row[1]) == (key, digest):
-                if not twice:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = digest = held = None  # the last row is held until it is known whether its context, and its key, goes on
+        twice = several = False
+        schema = None
+        for b in batches:
+            schema = b.schema
+            out: list[tuple] = []
+            for row in zip(*(b[c].to_pylist() for c in ("key", "digest", "doc_id", "sum", "first", "last", "known")), strict=True):
+                if row[6] == 1:
+                    out.append((*row[2:6], row[0], 1))
+                    continue
+                if (row[0], row[1]) == (key, digest):
                     twice = True
-                out.append((*row[2:], row[0], 1))
-                continue
-            if held is not None:
-                more = row[0] == key
-                if several or more:
-                    out.append((*held[2:], held[0], 2 if twice else 0))
-                elif twice:
-                    out.append((*held[2:], held[0], 1))
-                several = more
-            key, digest, held, twice = row[0], row[1], row, False
-        if out:
-            yield _settled_rows(out, b.schema)
-    if held is not None and (several or twice):
-        yield _settled_rows([(*held[2:], held[0], (2 if twice else 0) if several else 1)], b.schema)
+                    out.append((*row[2:6], row[0], 1))
+                    continue
+                if held is not None:
+                    more = row[0] == key
+                    if several or more or hot is None or key in hot:
+                        out.append((*held[2:6], held[0], 2 if twice else 0))
+                    elif twice:
+                        out.append((*held[2:6], held[0], 1))
+                    several = more
+                key, digest, held, twice = row[0], row[1], row, row[6] == 2
+            if out:
+                yield _settled_rows(out, schema)
+        if held is not None and (several or twice or hot is None or key in hot):
+            state = (2 if twice else 0) if several or hot is None or key in hot else 1
+            yield _settled_rows([(*held[2:6], held[0], state)], schema)
+
+    return run
 
 
 def _settled_rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -191,10 +253,10 @@ def _finer(rows: DataFrame, kind: str, width: int, step: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = None
         for b in batches:
-            out: list[tuple] = []
-            took: list[int] = []
-            for i, (text, wanted) in enumerate(zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True)):
+            met = met or _Contexts(b.schema.field("doc_id").type, frozenset())
+            for doc, check, text, wanted in zip(*(b[c].to_pylist() for c in ("doc_id", "sum", "text", "wanted")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for w in wanted:
                     (_, place, _, _), *_ = anchored(raw[w["first"] : w["last"] + width], width)
@@ -204,15 +266,11 @@ def _finer(rows: DataFrame, kind: str, width: int, step: int) -> DataFrame:
                         core = raw[place - k * step : place - (k + 1) * step + 1 + width]
                         key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(8, "little"), person=step.to_bytes(8, "little")).digest(), "little", signed=True)
                         digest = hashlib.blake2b(raw[first : last + width], digest_size=12, salt=(place - first).to_bytes(8, "little")).digest()
-                        out.append((key, digest, first, last))
-                        took.append(i)
-                        if len(out) >= 1 << 16:
-                            yield _anchor_rows(b, took, out)
-                            out, took = [], []
-            if out:
-                yield _anchor_rows(b, took, out)
+                        yield from met.add(key, digest, doc, check, first, last)
+        if met:
+            yield from met.rows()
 
-    return rows.mapInArrow(run, f"key long, digest binary, doc_id {kind}, sum long, first int, last int")
+    return rows.mapInArrow(run, _context_schema(kind))
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -230,17 +288,23 @@ def dealt_out(docs: DataFrame, width: int, kind: str, most: int) -> tuple[DataFr
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = ", ".join(["doc_id " + kind, "sum long", "first int", "last int", "key long", "settled byte"])
-    found, compare, rows = [], [], _anchors(docs, kind, width)
+    found, compare, hot = [], [], _very_common(docs, width)
+    rows, place = _anchors(docs, kind, width, hot), F.col("route")
     for step in (*_STEPS, None):
-        settled = materialize(rows.repartition(tasks, "key").sortWithinPartitions("key", "digest").mapInArrow(_settle, columns), "anchors")
+        settled = materialize(rows.repartition(tasks, place).sortWithinPartitions("key", "digest").mapInArrow(_settle(hot), columns), "anchors")
         found.append(settled.filter("settled <> 0").select("doc_id", "sum", "first", "last"))
         open_ = settled.filter("settled <> 1")
-        hot = materialize(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "hot-keys")
-        if step is None or hot.isEmpty():
+        counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        great = materialize(counts.filter(F.col("n") > most).select("key"), "hot-keys")  # so small that Spark broadcasts it, or else a side of a shuffle
+        if hot is None:  # keys with one context are still among them
+            alone = materialize(counts.filter("n = 1").select("key"), "lone-keys")
+            open_ = open_.join(alone, "key", "left_anti").select(*open_.columns)
+        if step is None or great.isEmpty():
             compare.append(open_)
             break
-        compare.append(open_.join(F.broadcast(hot), "key", "left_anti").select(*open_.columns))
-        rows = _finer(_with_text(docs, open_.join(F.broadcast(hot), "key", "left_semi")), kind, width, step)
+        compare.append(open_.join(great, "key", "left_anti").select(*open_.columns))
+        rows = _finer(_with_text(docs, open_.join(great, "key", "left_semi")), kind, width, step)
+        hot, place = None, F.when(F.col("known") == 1, F.col("route")).otherwise(F.xxhash64("key", "digest"))
     return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, compare)
 
 

@@ -32,8 +32,10 @@ def slow(rows):
     return [(i, len(t), sum((i, p) in gone for p in range(len(t)))) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("passage_bytes", [100, 190])
-def test_hot_passage(spark, passage_bytes):
+@pytest.mark.parametrize(("passage_bytes", "look"), [(100, 64), (190, 64), (100, 1), (190, 1), (230, 1)])
+def test_hot_passage(spark, monkeypatch, passage_bytes, look):
+    monkeypatch.setattr(suffix_dedup, "_LOOK", look)  # 1: the passage's keys are known to be very common
+    monkeypatch.setattr(suffix_dedup, "_WAITING", 50)
     rows = texts(passage_bytes)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = remove_repeats(docs, width=WIDTH, shard_bytes=8 * 2 * WIDTH).select("doc_id", "n_bytes", "n_removed")
