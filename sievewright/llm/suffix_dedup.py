@@ -273,10 +273,15 @@ def _finer(rows: DataFrame, kind: str, width: int, step: int) -> DataFrame:
     return rows.mapInArrow(run, _context_schema(kind))
 
 
-def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, sum, text, wanted: the documents that have any of the rows, with these."""
+def _with_text(docs: DataFrame, rows: DataFrame, few: bool = False) -> DataFrame:
+    """doc_id, sum, text, wanted: the documents that have any of the rows, with these.
+
+    few: there may be few rows. They are written first, so that Spark knows their size and, if it is small, broadcasts
+    them instead of shuffling the texts.
+    """
     wanted = rows.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("first", "last", "key", "settled")).alias("wanted"))
     mine = wanted.select(F.col("doc_id").alias("w_id"), F.col("sum").alias("w_sum"), "wanted")
+    mine = materialize(mine, "wanted") if few else mine
     return docs.join(mine, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sum") == F.col("w_sum"))).select("doc_id", "sum", "text", "wanted")
 
 
@@ -303,7 +308,7 @@ def dealt_out(docs: DataFrame, width: int, kind: str, most: int) -> tuple[DataFr
             compare.append(open_)
             break
         compare.append(open_.join(great, "key", "left_anti").select(*open_.columns))
-        rows = _finer(_with_text(docs, open_.join(great, "key", "left_semi")), kind, width, step)
+        rows = _finer(_with_text(docs, open_.join(great, "key", "left_semi"), few=True), kind, width, step)
         hot, place = None, F.when(F.col("known") == 1, F.col("route")).otherwise(F.xxhash64("key", "digest"))
     return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, compare)
 
