@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import materialize, shared_folder
 
 #: The characters `[\x20\x09-\x0D]` that equality ignores.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -92,7 +92,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     keys = spark.read.schema(sources.schema).parquet(f"{folder}/keys").select("*", digest)
     if not _exists(spark, f"{folder}/state/state/0"):  # files without rows
         return _decided(keys.join(_grouped(keys, "digest"), "digest"))
-    rows = _with_group(keys, _read_state(spark, f"{folder}/state"))
+    # read once: tasks that read one partition of the state at a time wait for each other
+    rows = _with_group(keys, materialize(_read_state(spark, f"{folder}/state"), "exact-groups"))
 
     hits = rows.filter("group_size > 1").select(F.xxhash64("file", "row").alias("hit"))
     at = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("hit")
