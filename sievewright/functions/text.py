@@ -200,27 +200,37 @@ def decoded_text(candidate: bytes) -> bytes | None:
     return None
 
 
-def decode_runs(text: str, depth: int = fixed.DECODE_DEPTH) -> list[str]:
-    """Payloads of encoded runs, nested ones after the run that holds them, within the budgets."""
+def decode_places(text: str, depth: int = fixed.DECODE_DEPTH) -> list[tuple[int, str]]:
+    """Payloads of encoded runs, nested ones after the run that holds them, within the budgets; each with the byte at which the text's own run first stands."""
     budget = fixed.DECODE_MAX_TOTAL
 
-    def layer(raw: bytes, depth: int) -> list[bytes]:
+    def layer(raw: bytes, depth: int, at: int | None = None) -> list[tuple[int, bytes]]:
         nonlocal budget
-        out: list[bytes] = []
+        out: list[tuple[int, bytes]] = []
         if depth <= 0 or budget <= 0:
             return out
-        for run in dict.fromkeys(_B64.findall(raw) + _HEX.findall(raw)):
+        first: dict[bytes, int] = {}
+        for m in [*_B64.finditer(raw), *_HEX.finditer(raw)]:
+            group = m.re.groups
+            first.setdefault(m[group], m.start(group))
+        for run, start in first.items():
             plain = decoded_text(run) if len(run) <= fixed.DECODE_MAX_CANDIDATE else None
             if plain is None or plain == run:
                 continue
             plain = plain[:budget]
             budget -= len(plain)
-            out += [plain, *layer(plain, depth - 1)]
+            place = start if at is None else at
+            out += [(place, plain), *layer(plain, depth - 1, place)]
             if budget <= 0:
                 break
         return out
 
-    return [p.decode("utf-8", "replace") for p in layer(text.encode("utf-8", "surrogatepass"), depth)]
+    return [(at, p.decode("utf-8", "replace")) for at, p in layer(text.encode("utf-8", "surrogatepass"), depth)]
+
+
+def decode_runs(text: str, depth: int = fixed.DECODE_DEPTH) -> list[str]:
+    """Payloads of encoded runs alone."""
+    return [p for _, p in decode_places(text, depth)]
 
 
 VIEW = T.StructType(
@@ -280,6 +290,10 @@ def strip_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else strip_marks_text(t))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def decoded_payloads(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else decode_runs(t))
+PLACED = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("payload", T.StringType())]))
+
+
+@F.pandas_udf(PLACED)
+def decoded_at(texts: pd.Series) -> pd.Series:
+    """(at, payload) of each text's payloads; see decode_places."""
+    return texts.map(lambda t: [] if t is None else [{"at": at, "payload": p} for at, p in decode_places(t)])
