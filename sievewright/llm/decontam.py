@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, trimmed
 
 #: A-Z to a-z; digits, a-z and bytes above 127 belong to words; all else is a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -175,7 +175,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, id_col: str
             rows = [(len(w), *index.hits(w)) for w in map(words_of, b["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *_report(rows)], _COLUMNS)
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 # --- the join by a shuffle ---------------------------------------------------------------------------------------------
@@ -248,7 +248,7 @@ def _prints(rows: DataFrame, keys: dict[str, str], lengths: list[int], span: int
         take = pa.array(took)
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)), *(b[k].take(take) for k in keys)], columns)
 
-    return rows.select(*keys, "text").mapInArrow(run, ", ".join(["print long, length int, ahead int, words binary, place long", *(f"{k} {t}" for k, t in keys.items())]))
+    return rows.select(*keys, "text").mapInArrow(trimmed(run), ", ".join(["print long, length int, ahead int, words binary, place long", *(f"{k} {t}" for k, t in keys.items())]))
 
 
 def _filter_over(prints: DataFrame, n: int) -> np.ndarray:
@@ -260,7 +260,7 @@ def _filter_over(prints: DataFrame, n: int) -> np.ndarray:
             places = _bits_of(b["print"].to_numpy(zero_copy_only=False).view(np.uint64), 64 * slots).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], ["slot", "bits"])
 
-    got = prints.select("print").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    got = prints.select("print").mapInArrow(trimmed(run), "slot long, bits long").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(slots, np.uint64)
     out[got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out.view(np.uint8)
@@ -303,7 +303,7 @@ def _joined(source: DataFrame, bench: DataFrame, span: int, kind: str) -> DataFr
     seen = _prints(docs.select("doc_id", "sum", "text"), {"doc_id": kind, "sum": "bigint"}, lengths, span, False, wanted)
     seen = seen.withColumnsRenamed({"ahead": "d_ahead", "words": "d_words"})
     met = seen.join(items_once, ["print", "length"]).select("doc_id", "sum", "item", "d_words", "d_ahead", "i_words", "i_ahead", "length", "place")
-    spans = materialize(met.mapInArrow(_meeting, f"doc_id {kind}, sum long, item string, first long, last long").distinct(), "shared-spans")
+    spans = materialize(met.mapInArrow(trimmed(_meeting), f"doc_id {kind}, sum long, item string, first long, last long").distinct(), "shared-spans")
     ids = plain.select("item", "item_id").distinct()
     places = spans.groupBy("doc_id", "sum").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     named = spans.select("doc_id", "sum", "item").distinct().join(ids, "item").groupBy("doc_id", "sum").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
@@ -317,7 +317,7 @@ def _joined(source: DataFrame, bench: DataFrame, span: int, kind: str) -> DataFr
             out = [(n, [(s["first"], s["last"]) for s in spans or ()], ids or ()) for n, spans, ids in zip(*(batch[c].to_pylist() for c in ("n_words", "spans", "items")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *_report(out)], _COLUMNS)
 
-    return rows.mapInArrow(finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(trimmed(finish), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _plain(text):
@@ -333,4 +333,4 @@ def _counted(docs: DataFrame, kind: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["sum"], pa.array([len(words_of(t)) for t in b["text"].to_pylist()], pa.int64())], ["doc_id", "sum", "n_words"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, sum long, n_words long")
+    return docs.mapInArrow(trimmed(run), f"doc_id {kind}, sum long, n_words long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, materialize, remove
+from .common import fresh, id_text, materialize, remove, trimmed
 
 #: Below this length the edit bound is zero: one edit makes something else of a short line.
 MIN_CHARS = 12
@@ -108,7 +108,7 @@ def _lines(docs: DataFrame, kind: str, least: int) -> DataFrame:
                     seen = {}
             yield _line_rows(seen, b.schema.field("doc_id").type, least)
 
-    return docs.mapInArrow(run, f"lid binary, doc_id {kind}, line_no int, halves array<long>")
+    return docs.mapInArrow(trimmed(run), f"lid binary, doc_id {kind}, line_no int, halves array<long>")
 
 
 def _line_rows(seen: dict, kind: pa.DataType, least: int) -> pa.RecordBatch:
@@ -130,7 +130,7 @@ def _texts(docs: DataFrame, least: int) -> DataFrame:
                         seen[line_id(line)] = line
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.string())], ["lid", "line"])
 
-    return docs.mapInArrow(run, "lid binary, line string")
+    return docs.mapInArrow(trimmed(run), "lid binary, line string")
 
 
 def _variants(survivors: DataFrame, kind: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _variants(survivors: DataFrame, kind: str) -> DataFrame:
             if rows:
                 yield _variant_rows(b, rows)
 
-    return survivors.select("lid", "doc_id", "line_no", "line").mapInArrow(run, f"k1 long, k2 long, place int, lid binary, doc_id {kind}, line_no int")
+    return survivors.select("lid", "doc_id", "line_no", "line").mapInArrow(trimmed(run), f"k1 long, k2 long, place int, lid binary, doc_id {kind}, line_no int")
 
 
 def _variant_rows(b: pa.RecordBatch, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -210,12 +210,12 @@ def near_first(docs: DataFrame, kind: str, least: int) -> tuple[DataFrame, DataF
     survivors = materialize(first.drop("halves").join(texts, "lid"), "partnered-lines")
     keyed = _variants(survivors, kind)
     order = ["k1", "k2", "place", F.col("doc_id").isNull(), "doc_id", "line_no"]
-    pairs = keyed.repartition(tasks, "k1", "k2").sortWithinPartitions(*order).select("k1", "k2", "place", "lid").mapInArrow(_met, "x binary, y binary").distinct()
+    pairs = keyed.repartition(tasks, "k1", "k2").sortWithinPartitions(*order).select("k1", "k2", "place", "lid").mapInArrow(trimmed(_met), "x binary, y binary").distinct()
     x = survivors.select(F.col("lid").alias("x"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("at_x"), F.col("line").alias("line_x"))
     y = survivors.select(F.col("lid").alias("y"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("at_y"), F.col("line").alias("line_y"))
     # levenshtein() walks a line from its start for each of its characters, which long lines don't bear
     checked = pairs.join(x, "x").join(y, "y").select("x", "at_x", "line_x", "y", "at_y", "line_y")
-    near = checked.mapInArrow(_verified, checked.schema)
+    near = checked.mapInArrow(trimmed(_verified), checked.schema)
     late = near.select(F.when(F.col("at_x") > F.col("at_y"), F.struct("x", "at_x")).otherwise(F.struct(F.col("y").alias("x"), F.col("at_y").alias("at_x"))).alias("r"))
     dropped = materialize(late.select(F.col("r.x").alias("lid"), F.col("r.at_x.doc_id").alias("doc_id"), F.col("r.at_x.line_no").alias("line_no")).distinct(), "near-lines")
     remove(survivors)
@@ -257,4 +257,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*rest, *counts])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumns(dict.fromkeys(counts, F.lit(0).cast("long"))).schema
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, where_id
+from .common import id_text, materialize, trimmed, where_id
 from .components import components
 from .simhash import fingerprint_of, near_links, shingle_hashes
 
@@ -116,7 +116,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *signed, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["doc_id", "node", "fp", "n", "bits"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, bits binary")
+    return docs.mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, bits binary")
 
 
 def _common(docs: DataFrame, words: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _common(docs: DataFrame, words: int, step: int) -> tuple[np.ndarray, np.ndar
             for t in b["text"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["token"])
 
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).mapInArrow(run, "token long")
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).mapInArrow(trimmed(run), "token long")
     rows = sample.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= COMMON).orderBy(F.desc("k"), "token").limit(MOST_COMMON).toArrow()
     token, often = (rows[c].to_numpy() for c in ("token", "k"))
     order = np.argsort(token.view(np.uint64))
@@ -171,7 +171,7 @@ def _prefixes(docs: DataFrame, words: int, common: tuple[np.ndarray, np.ndarray]
                 token = prefix(own, *shared.value, similarity).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), node, np.uint64).view(np.int64)), pa.array(np.full(len(token), len(own), np.int32))], ["token", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, node long, n int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -287,9 +287,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, s
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first").alias("w_id")).distinct()
-    have = where_id(docs, wanted, "left_semi").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    have = where_id(docs, wanted, "left_semi").mapInArrow(trimmed(sets), "node long, shingles binary").dropDuplicates(["node"])
     sides = pairs.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return sides.select("a", "b", "x", "y").mapInArrow(trimmed(alike), "a long, b long")
 
 
 def near_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def near_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, ra
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = _common(docs, words, max(1, nodes.count() // SAMPLE))
     dealt = _prefixes(docs, words, common, similarity).repartition(tasks, "token").sortWithinPartitions("token", "node")
-    shared = materialize(dealt.mapInArrow(_shared, "token long, node long, n int"), "shared-tokens")
+    shared = materialize(dealt.mapInArrow(trimmed(_shared), "token long, node long, n int"), "shared-tokens")
     least = F.floor(F.lit(EXTRA) * F.ceil(similarity * F.col("n") - _EPS)) + 1
     open_ = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select("node")
     open_ = materialize(nodes.join(open_, "node", "left_semi").select("node", "n", "bits"), "open-sets")
@@ -325,7 +325,7 @@ def near_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, ra
             one = shared.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(salt)).alias("h"), "token")).alias("one"))
             groups = open_.join(one.select("node", "one.token"), "node")
         rooted = groups.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", "bits")
-        pairs = rooted.repartition(tasks, "token").sortWithinPartitions("token", "node").mapInArrow(_pairs(of, similarity), "a long, b long").distinct()
+        pairs = rooted.repartition(tasks, "token").sortWithinPartitions("token", "node").mapInArrow(trimmed(_pairs(of, similarity)), "a long, b long").distinct()
         return materialize(links.unionByName(_verified(materialize(pairs, "pairs"), docs, nodes, words, similarity)), "links")
 
     found = between(_with_one, links, 0)

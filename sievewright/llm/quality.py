@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, trimmed
 
 HASHED = 512
 DENSE = 14
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b["text"].to_pylist()], pa.binary()), b["quality"].cast(pa.int64())], ["x", "quality"])
 
-    got = rows.mapInArrow(run, "x binary, quality long").toArrow()
+    got = rows.mapInArrow(trimmed(run), "x binary, quality long").toArrow()
     if not got.num_rows:
         return train(np.zeros((1, DENSE + HASHED)), np.ones(1, bool))
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, -1)
@@ -142,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     source = id_text(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), "text")
-    return source.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,4 +156,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
             good = [bool(s >= ACCEPT) for i in range(0, len(texts), 512) for s in held.value.score(np.stack([features(t) for t in texts[i : i + 512]]))]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, trimmed
 from .token_count import MARK, processor
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -401,4 +401,4 @@ def encoded(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = False
 
     names = ["doc_id", "n_tokens", "ids_sha256", "nbest_scores", "round_trip", "nbest_sha256"] + ["ids"] * with_ids + ["nbest_ids"] * with_nbest_ids
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, nbest_scores array<long>, round_trip boolean, nbest_sha256 array<string>" + ", ids array<int>" * with_ids + ", nbest_ids array<array<int>>" * with_nbest_ids
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import id_text, materialize, trimmed
 from .components import components
 
 #: A-Z to a-z, every other byte as it is.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(t, words) for t in b["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 @lru_cache(maxsize=64)
@@ -100,7 +100,7 @@ def _routed(rows: DataFrame, done: int, bits: int) -> DataFrame:
                         [pa.array(to.ravel().view(np.int64)), pa.array(np.repeat(fp[k], len(masks))), pa.array(np.tile(most - sizes, len(k)).astype(np.int8))], ["part", "fp", "left"]
                     )
 
-    return rows.mapInArrow(run, "part long, fp long, left byte")
+    return rows.mapInArrow(trimmed(run), "part long, fp long, left byte")
 
 
 def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
     out = None
     for frame, depth in plan:
-        links = frame.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(found(depth), "a long, b long")
+        links = frame.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(trimmed(found(depth)), "a long, b long")
         out = links if out is None else out.unionByName(links)
     return out
 

@@ -1,9 +1,15 @@
 """The stages after one another, on the small table."""
 
+import ctypes
 import importlib.util
+import re
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
+from sievewright.llm.common import trimmed
+
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
 
 
@@ -117,3 +123,23 @@ def test_odd_rows(spark, odd_docs):
         docs = stage(spark, docs, d)
         assert docs.columns == odd_docs.columns
     assert cp.STAGES[-1][1](spark, docs, d).count() == docs.count()
+
+
+def test_workers_give_memory_back():
+    """A worker keeps little of what a task took, also where small pieces of it lie apart."""
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def run(batches):
+        for b in batches:
+            taken = [ctypes.create_string_buffer(2000) for _ in range(100_000)]
+            held.append(taken[-1])  # at the end of the heap: nothing below it is given back without being asked to
+            del taken
+            yield b
+
+    held, got = [], []
+    before = resident()
+    for _ in trimmed(run)(iter([pa.record_batch([pa.array([1])], ["x"])])):
+        got.append(resident())
+    assert got[0] - before > 100 and resident() - before < 60
